@@ -206,7 +206,7 @@ def made_up(rng: random.Random, n: int = 900) -> list[tuple[str, str, int]]:
         lead = rng.choice(["mail", "contact", "write to", a, b])
         out.append((f"{a} {lead} {b}.{num(1)}{at}{c}{dot}{rng.choice(['com', 'org', 'net', 'de'])} {d}", "email", 1))
         out.append((f"{a} {b}(at){num(2)}.{num(1)} {c}", "email", 0))
-        hexes = ":".join("%x" % rng.getrandbits(16) for _ in range(8))
+        hexes = ":".join("%x" % rng.getrandbits(rng.choice((4, 8, 16))) for _ in range(8))
         out.append((f"{a} {rng.choice(['host', 'ip', b])} {hexes} {c}", "ip", 1))
         out.append((f"{a} {':'.join(num(2) for _ in range(8))} {c}", "ip", 0))
         sep = rng.choice([".", "/", "_", "  "])
@@ -270,8 +270,10 @@ def find_spans(docs: DataFrame, forest: Forest | None = None, text_col: str = "t
     out = docs.withColumn(base_col, F.array_sort(F.concat(*(ranked(base[k], k) for k in KINDS))))
 
     def selected(kind: str) -> Column:
-        accepted = lambda s: ~overlaps(s, F.col(base_col)) & forest.accepts(kind, features_of(text, kind, s))
-        return ranked(F.filter(spans_of(text, CANDIDATES[kind]), accepted), kind)
+        """Features are computed once a candidate; the trees then read them by name."""
+        seen = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *(v.alias(k) for k, v in features_of(text, kind, s).items()))
+        accepted = lambda s: ~overlaps(s, F.col(base_col)) & forest.accepts(kind, {k: s[k] for k in FEATURES})
+        return ranked(F.filter(F.transform(spans_of(text, CANDIDATES[kind]), seen), accepted), kind)
 
     more = [selected(kind) for kind in KINDS]
     return out.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), *more)))
