@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, toxicity, warc
+from . import bpe, ngram_join, packing, pii, quality, toxicity, warc
 from .common import held_out, table
 
 
@@ -39,6 +39,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_warc, op4_bpe, op8_pii, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op3_warc, op4_bpe, op5_ngram_join, op8_pii, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
