@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, quality, toxicity, warc
+from . import bpe, near_vectors, ngram_join, packing, pii, quality, toxicity, warc
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def decided(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_warc, op4_bpe, op5_ngram_join, op8_pii, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_near_vectors, op3_warc, op4_bpe, op5_ngram_join, op8_pii, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
