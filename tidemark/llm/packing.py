@@ -40,7 +40,7 @@ LARGE = 1 / 8
 GROUPS = 200
 ROUNDS = 500
 SALTS = 64
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_200_000
 #: A space beside white space on both sides, or at an end: where cutting at spaces isn't where the pattern cuts.
 SPACE = re.compile(r"\s")
 UNSAFE = re.compile(r"\s \s|\A | \Z")
@@ -68,7 +68,7 @@ class CachedTokenizer:
         fine = [w for w in words if w and not SPACE.search(w)]
         for i in range(0, len(fine), step):
             some = fine[i : i + step]
-            ids = np.array(self.tok.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) == len(some):
                 raw = ids.tobytes()
