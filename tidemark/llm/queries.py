@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_vectors, ngram_join, packing, pii, quality, toxicity, warc
+from . import bpe, chroma, html_text, near_vectors, ngram_join, packing, pii, quality, toxicity, warc
 from .common import held_out, table
 
 
@@ -47,6 +47,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio, so each vector is rendered as a tune; those whose id 50 divides are searched in all."""
+    media = chroma.render(table(spark, sf_dir, "embeddings"))
+    return chroma.search(media, F.col("id") % 50 == 0, "vec_id", "audio")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -63,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_near_vectors, op3_warc, op4_bpe, op5_ngram_join, op8_pii, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_near_vectors, op3_warc, op4_bpe, op5_ngram_join, op6_chroma, op7_html_text, op8_pii, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
