@@ -7,7 +7,8 @@
 3. *Prefixes*: with an l-prefix of n - ceil(t n) + l shingles, two sets of similarity t share at least l of them. Each node
    takes the l from 1 to 3 whose estimated cost is least: the other entries of its prefix's posting lists are read, and
    at most their l-th part is verified. A pair needs the smaller l of the two in common.
-4. *Short posting lists* (up to ``LIST``) give pairs whose sizes fit; those that share enough are verified on whole sets.
+4. *Short posting lists* (up to ``LIST``) give pairs whose sizes fit; those that share enough are verified on whole sets,
+   which are sent once per group of connected pairs.
 5. *Long lists* never give pairs. Their nodes are joined to clusters; each cluster is compared with one pivot. Nodes
    linked to it are done among themselves. Since Jaccard distance is a metric, any other node can only link to nodes
    whose distance from the pivot differs by at most 1 - t, so it is compared within neighbouring rings, in blocks of
@@ -95,16 +96,16 @@ def sketched(docs: DataFrame, size: int) -> np.ndarray:
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in them:
-            for t in batch.column(0).to_pylist():
-                counts += np.bincount(slot(s), minlength=COUNTERS) if len(s := shingles(t, size)) > CHUNK else 0
-                if len(s) <= CHUNK:
-                    np.add.at(counts, slot(s), 1)
+            met = [slot(shingles(t, size)) for t in batch.column(0).to_pylist()]
+            counts += np.bincount(np.concatenate([*met, np.empty(0, np.int64)]), minlength=COUNTERS)
         for lo in range(0, COUNTERS, CHUNK):
-            at = np.flatnonzero(counts[lo : lo + CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array([(at + lo).tolist()], pa.list_(pa.int32())), pa.array([counts[at + lo].tolist()], pa.list_(pa.int64()))], names=["slots", "counts"])
+            at = np.flatnonzero(counts[lo : lo + CHUNK]) + lo
+            ends = pa.array([0, len(at)], pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts[at], pa.int64())))
+            yield pa.RecordBatch.from_arrays(list(lists), names=["slots", "counts"])
 
     parts = docs.select("text").mapInArrow(run, "slots array<int>, counts array<long>")
-    each = parts.select(F.explode(F.arrays_zip("slots", "counts")).alias("x")).groupBy(F.col("x.slots").alias("slot")).agg(F.sum("x.counts").alias("n"))
+    each = parts.select(F.inline(F.arrays_zip("slots", "counts")).alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n"))
     each = settle(each)
     total = each.agg(F.sum("n").alias("n")).first()["n"] or 0
     usual = 2 * total / COUNTERS + 8
@@ -131,9 +132,9 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, size: int, percent: int) ->
                 level = shared.value[slot(s)]
                 first = np.lexsort((s, level))[:k] if level.any() else slice(0, k)
                 prefixes.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "sig", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "md5", "n", "prefix"])
 
-    return docs.mapInArrow(run, f"id {kind}, sig binary, n long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {kind}, md5 binary, n long, prefix array<long>")
 
 
 def postings(nodes: DataFrame, percent: int) -> DataFrame:
@@ -162,9 +163,9 @@ def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sig, tokens) of the wanted nodes, from the texts once more; a bitmap of fixed size keeps most others out."""
+    """(sig, tokens) of the wanted nodes (sig, md5), from the texts once more; a bitmap of fixed size keeps most others out."""
     bits = 1 << FILTER_BITS
-    place = F.pmod(F.conv(F.substring(F.hex("sig"), 1, 8), 16, 10).cast("long"), F.lit(bits))
+    place = F.pmod(F.conv(F.substring(F.hex("md5"), 1, 8), 16, 10).cast("long"), F.lit(bits))
     bitmap = np.zeros(bits, bool)
     for r in wanted.select(place.alias("p")).distinct().toLocalIterator():  # at most one row for each bit
         bitmap[r["p"]] = True
@@ -180,10 +181,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 if sig is not None and known[int.from_bytes(sig[:4], "big") % bits]:
                     sigs.append(sig)
                     tokens.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["md5", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "sig binary, tokens array<long>")
-    return settle(found.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("tokens").alias("tokens")))
+    found = docs.select("text").mapInArrow(run, "md5 binary, tokens array<long>")
+    return settle(found.groupBy("md5").agg(F.first("tokens").alias("tokens")).join(wanted, "md5").select("sig", "tokens"))
 
 
 def similar(a: str, b: str, percent: int):
@@ -192,8 +193,25 @@ def similar(a: str, b: str, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs' links. Pairs are joined to groups, and each set of a group of up to ``BLOCK`` nodes is sent once, to the
+    task that compares the group; only pairs of larger groups carry their sets."""
+    labels = settle(connected(pairs))
+    sizes = labels.groupBy("label").count()
+    small = settle(labels.join(sizes.where(F.col("count") <= BLOCK), "label").select(F.col("node").alias("sig"), "label"))
+    bins = max(1, small.count() // 1000)
+    full = small.join(sets, "sig").withColumn("bin", F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, g in group.groupby("label"):
+            ids, tokens = list(g["sig"]), list(g["tokens"])
+            out += links(ids, tokens, ids, tokens, percent)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    found = full.groupBy("bin").applyInPandas(compare, "a long, b long")
+    rest = pairs.join(small.select(F.col("sig").alias("a")), "a", "left_anti")
     left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(similar("ta", "tb", percent)).select("a", "b")
+    return found.unionByName(rest.join(left, "a").join(right, "b").where(similar("ta", "tb", percent)).select("a", "b"))
 
 
 def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +246,7 @@ def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     here = F.struct(F.col("ring").alias("ring"), F.col("block").alias("block"))
     copies = placed.select("cluster", "sig", here.alias("here"), F.explode(F.concat(partners(-1), partners(0), partners(1))).alias("there"))
     keyed = copies.select("cluster", F.least("here", "there").alias("low"), F.greatest("here", "there").alias("high"), (F.col("here") <= F.col("there")).alias("side"), "sig")
-    full = keyed.join(sets, "sig").withColumn("key", F.concat_ws(":", F.hex("cluster"), F.to_json("low"), F.to_json("high")))
+    full = keyed.join(sets, "sig").withColumn("key", F.concat_ws(":", F.col("cluster").cast("string"), F.to_json("low"), F.to_json("high")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("sig")
@@ -236,13 +254,13 @@ def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left = group if same else group[group["side"]]
         right = group if same else group[~group["side"]]
         out = links(list(left["sig"]), list(left["tokens"]), list(right["sig"]), list(right["tokens"]), percent)
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    found = full.select("key", "sig", "tokens", "side", (F.col("low") == F.col("high")).alias("same")).groupBy("key").applyInPandas(compare, "a binary, b binary")
+    found = full.select("key", "sig", "tokens", "side", (F.col("low") == F.col("high")).alias("same")).groupBy("key").applyInPandas(compare, "a long, b long")
     return first.unionByName(found)
 
 
-def links(a: list[bytes], ta: list[np.ndarray], b: list[bytes], tb: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+def links(a: list[int], ta: list[np.ndarray], b: list[int], tb: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks: intersections as products of 0/1 matrices, column by column."""
     if not a or not b:
         return []
@@ -264,7 +282,7 @@ def links(a: list[bytes], ta: list[np.ndarray], b: list[bytes], tb: list[np.ndar
     hit = both * 100 >= (na[:, None] + nb[None] - both) * percent
     root = {s: s for s in [*a, *b]}
 
-    def find(s: bytes) -> bytes:
+    def find(s: int) -> int:
         while root[s] != s:
             root[s] = root[root[s]]
             s = root[s]
@@ -285,17 +303,18 @@ def near_copies(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = sketched(rows, size)
     each = settle(prefix_rows(rows, levels, size, percent))
-    nodes = settle(each.where("sig IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("id").alias("least")))
+    nodes = each.where("md5 IS NOT NULL").groupBy("md5").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("id").alias("least"))
+    nodes = settle(nodes.withColumn("sig", F.monotonically_increasing_id()))
     entries = settle(postings(nodes, percent))
     short, long = entries.where(F.col("count") <= LIST), entries.where(F.col("count") > LIST)
     pairs = settle(candidate_pairs(short, percent))
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(long.select("sig")).distinct()
-    sets = whole_sets(rows, settle(wanted), size)
-    edges = verified(pairs, sets, percent).unionByName(cluster_links(long, sets, percent))
+    sets = whole_sets(rows, settle(wanted.join(nodes.select("sig", "md5"), "sig")), size)
+    edges = settle(verified(pairs, sets, percent).unionByName(cluster_links(long, sets, percent)))
     labels = connected(edges)
-    named = nodes.select("sig", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = nodes.select("sig", "md5", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = named.join(names, "label").select("sig", "component_id")
-    joined = each.where("sig IS NOT NULL").select("id", "sig", "n").join(component, "sig").select("id", "n", "component_id")
-    empty = each.where("sig IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    component = named.join(names, "label").select("md5", "component_id")
+    joined = each.where("md5 IS NOT NULL").select("id", "md5", "n").join(component, "md5").select("id", "n", "component_id")
+    empty = each.where("md5 IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return joined.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
