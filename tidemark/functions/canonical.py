@@ -58,11 +58,38 @@ def number_text(c: Column) -> Column:
     return text(c)
 
 
-def double_text(c: Column) -> Column:
-    """Integral doubles below 2**53 are long texts; others go through Arrow."""
+def double_text(c: Column, inner: bool = False) -> Column:
+    """Integral doubles below 2**53 are long texts; others go through Arrow.
+
+    Inside arrays and maps Spark allows no Arrow function, so there the JVM's own digits are laid out; before Java 19
+    these are now and then one digit longer than the shortest.
+    """
     plain = (c == F.floor(c)) & (F.abs(c) < 9007199254740992.0)
     bad = F.isnan(c) | (F.abs(c) == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("canonical JSON has no NaN or infinity"))).when(plain, c.cast("long").cast("string")).otherwise(number_text(c))
+    other = laid_out(c) if inner else number_text(c)
+    return F.when(bad, F.raise_error(F.lit("canonical JSON has no NaN or infinity"))).when(plain, c.cast("long").cast("string")).otherwise(other)
+
+
+def laid_out(c: Column) -> Column:
+    """ECMAScript's layout of the digits and exponent of Java's text."""
+    text = F.abs(c).cast("string")
+    exponent = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    whole, part = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_extract(text, r"\.(\d+)", 1)
+    all_digits = F.concat(whole, part)
+    digits = F.regexp_replace(F.regexp_replace(all_digits, "^0+", ""), "0+$", "")
+    point = F.length(whole) + exponent - (F.length(all_digits) - F.length(F.regexp_replace(all_digits, "^0+", "")))
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise(F.lit(""))
+    e = point - 1
+    far = F.concat(F.left(digits, F.lit(1)), tail, F.when(e >= 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(e).cast("string"))
+    out = (
+        F.when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n)))
+        .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.lit(400))))
+        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+        .otherwise(far)
+    )
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), out)
 
 
 def string_text(c: Column) -> Column:
@@ -76,31 +103,31 @@ def string_text(c: Column) -> Column:
     return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rest).otherwise(out), F.lit('"'))
 
 
-def canonical(c: Column, kind: T.DataType, ignore_nulls: bool = False) -> Column:
+def canonical(c: Column, kind: T.DataType, ignore_nulls: bool = False, inner: bool = False) -> Column:
     """Canonical JSON text of a column of the given type."""
-    return F.coalesce(_text(c, kind, ignore_nulls), F.lit("null"))
+    return F.coalesce(_text(c, kind, ignore_nulls, inner), F.lit("null"))
 
 
-def _text(c: Column, kind: T.DataType, skip: bool) -> Column:
+def _text(c: Column, kind: T.DataType, skip: bool, inner: bool) -> Column:
     if isinstance(kind, T.StructType):
         members = []
         for f in sorted(kind.fields, key=lambda f: utf16(f.name)):
             name = json.dumps(f.name, ensure_ascii=False) + ":"
-            value = _text(c[f.name], f.dataType, skip)
+            value = _text(c[f.name], f.dataType, skip, inner)
             members.append(F.concat(F.lit(name), value) if skip else F.concat(F.lit(name), F.coalesce(value, F.lit("null"))))
         return F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
     if isinstance(kind, T.ArrayType):
-        parts = F.transform(c, lambda x: canonical(x, kind.elementType, skip))
+        parts = F.transform(c, lambda x: canonical(x, kind.elementType, skip, True))
         return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
     if isinstance(kind, T.MapType):
-        entries = F.transform(F.map_entries(c), lambda e: F.struct(F.encode(e["key"], "UTF-16BE").alias("o"), F.concat(string_text(e["key"]), F.lit(":"), canonical(e["value"], kind.valueType, skip)).alias("t")))
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(F.encode(e["key"], "UTF-16BE").alias("o"), F.concat(string_text(e["key"]), F.lit(":"), canonical(e["value"], kind.valueType, skip, True)).alias("t")))
         return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: e["t"]), ","), F.lit("}"))
     if isinstance(kind, T.StringType):
         return string_text(c)
     if isinstance(kind, T.BooleanType):
         return c.cast("string")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return double_text(c.cast("double"))
+        return double_text(c.cast("double"), inner)
     if isinstance(kind, T.DecimalType):
         return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
