@@ -7,7 +7,7 @@ offset at which most of their integers are equal (the histogram's peak); they ma
 the overlap there is small.
 
 Recordings with equal fingerprints are one class, so copies cost nothing further. Candidates are classes that share one
-of their ``LANDMARKS`` least hashed integers; they are verified on whole fingerprints. The candidate search is
+of their ``LANDMARKS`` least hashed pairs of integers; they are verified on whole fingerprints. The candidate search is
 approximate (tests hold its recall against all pairs), the verification is exact.
 
 Defined results: audio that is null, too short, silent or not PCM WAV has no fingerprint and matches nothing. Repeated
@@ -34,6 +34,7 @@ FRAME, HOP = 512, 128
 WINDOW = 16
 FILTERS = 16
 LANDMARKS = 16
+APART = 16
 MOST_ERRORS = 0.15
 LEAST_OVERLAP = 20
 #: Cuts of the log ratio of two areas; codes differ in one bit from step to step.
@@ -125,9 +126,11 @@ def fingerprint(data: bytes | None) -> np.ndarray | None:
 
 
 def landmarks(f: np.ndarray) -> np.ndarray:
-    u = np.unique(f)
-    h = (u.view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    return u[np.argsort(h, kind="stable")[:LANDMARKS]]
+    """The least hashed pairs of integers that are ``APART`` frames from each other; one integer alone is too common."""
+    u = f.view(np.uint32).astype(np.uint64) + np.uint64(1)
+    pairs = u[:-APART] * np.uint64(0x9E3779B97F4A7C15) + u[APART:] if len(u) > APART else u
+    h = np.unique(pairs * np.uint64(0xC2B2AE3D27D4EB4F) ^ (pairs >> np.uint64(29)))
+    return h[:LANDMARKS].view(np.int64)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
@@ -159,9 +162,9 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
             got = [fingerprint(x) for x in batch.column("audio").to_pylist()]
             sig = [None if f is None else hashlib.md5(f.tobytes()).digest() for f in got]
             marks = [None if f is None else landmarks(f) for f in got]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sig, pa.binary()), pa.array(got, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32()))], names=["id", "sig", "ints", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sig, pa.binary()), pa.array(got, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "sig", "ints", "marks"])
 
-    return rows.mapInArrow(run, f"id {kind}, sig binary, ints array<int>, marks array<int>")
+    return rows.mapInArrow(run, f"id {kind}, sig binary, ints array<int>, marks array<long>")
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
