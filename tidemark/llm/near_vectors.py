@@ -31,11 +31,13 @@ from .common import batches, settle
 from .components import connected
 
 COSINE = 0.95
-BLOCK_DIMS = 8
-GRID_DIMS = 4
-CELL = 1024
+BLOCK_DIMS = 16
+GRID_DIMS = 3
+CELL = 8192
 #: Rounding never loses a pair: every part of the budget is this much larger.
 SLACK = 1e-9
+#: What single precision may be off by; what it lets through is measured again in double precision.
+ROUNDING = 1e-5
 #: Cells that may be broadcast as large; beyond it they are joined.
 MOST_BROADCAST = 20_000
 PLACED = "key string, row long, home boolean, vector binary"
@@ -136,6 +138,8 @@ def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
     y = x[:, lo:hi]
     sq = (y * y).sum(1)
     homes = np.flatnonzero(home)
+    left = np.concatenate([-2 * y[homes], np.ones((len(homes), 1)), sq[homes][:, None]], 1).astype(np.float32)
+    right = np.concatenate([y, sq[:, None], np.ones((len(y), 1))], 1).astype(np.float32).T
     count = np.zeros(len(group), np.int64)
     root = np.arange(len(group))
 
@@ -147,14 +151,13 @@ def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
 
     forest = []
     for at in range(0, len(homes), 256):
-        h = homes[at : at + 256]
-        d = sq[h][:, None] + sq[None] - 2 * (y[h] @ y.T)
-        fine = d <= budget[block] + 1e-12
-        fine &= ~home[None] | (h[:, None] < np.arange(len(group))[None])  # homes among themselves once
+        near = left[at : at + 256] @ right <= budget[block] + ROUNDING  # squared distances, in one product
+        a, b = np.divmod(np.flatnonzero(near), len(group))
+        a = homes[at + a]
+        fine = ~home[b] | (a < b)  # homes among themselves once
         if i != j:
-            fine &= part[h][:, None] != part[None]
-        a, b = np.nonzero(fine)
-        a = h[a]
+            fine &= part[a] != part[b]
+        a, b = a[fine], b[fine]
         for s in range(0, len(a), 65_536):
             p, q = a[s : s + 65_536], b[s : s + 65_536]
             diff = (x[p] - x[q]) ** 2
@@ -178,7 +181,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     batches(table.sparkSession, 1000)
     rows = settle(table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("row", F.monotonically_increasing_id()))
     double = "double" in rows.schema["vector"].dataType.simpleString()
-    meetings = dealt(settle(placed(rows.select("row", "vector"), cosine)))
+    meetings = dealt(placed(rows.select("row", "vector"), cosine))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         return met(group, cosine, double)
