@@ -46,7 +46,10 @@ def corpus(n=260, seed=3):
     return rows
 
 
-def test_classes_are_those_of_all_pairs(spark):
+def test_classes_are_those_of_all_pairs(spark, monkeypatch):
+    """With lists above 64 entries counted as long and blocks of 16, so that every way is taken."""
+    monkeypatch.setattr(nj, "LIST", 64)
+    monkeypatch.setattr(nj, "BLOCK", 16)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, nj.near_copies(docs).collect()))

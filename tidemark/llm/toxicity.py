@@ -36,7 +36,7 @@ WORDS, STEP = 10, 8
 LONGEST_WORD = 64
 GRAM = 5
 #: A sequence is toxic if this share of toxic documents has it, and so many times the share that ordinary ones have.
-SHARE, TIMES = 0.02, 20
+SHARE, TIMES, LEAST = 0.02, 20, 2
 ORDINARY_BYTES, TOXIC_BYTES = 57_344, 4096
 EDGES = (1, 2, 3, 4, 5, 6, 8)
 MARKS = ".,;:!?()[]|\"'*#%&$"
@@ -161,7 +161,7 @@ def train(sample: list[tuple[str, int]], toxic_share: float) -> Model:
         for t in texts:
             counter.update({g for w in padded_words(t) for g in grams(w)})
     n, m = len(toxic[::2]), len(ordinary[::2])
-    keys = {g for g, c in have.items() if c >= max(2, SHARE * n) and c / n > TIMES * (other[g] + 0.1) / m}
+    keys = {g for g, c in have.items() if c >= max(LEAST, SHARE * n) and c / n > TIMES * (other[g] + 0.1) / m}
     found = Counter(s for t in toxic[::2] for w in padded_words(t) for s in set(spans(w, keys)))
     tail = b"".join(s.encode() for s in sorted(found, key=lambda s: (found[s], s)))[-TOXIC_BYTES:]
     base, raw = ordinary_dictionary(ordinary[::2])
