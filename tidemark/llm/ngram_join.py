@@ -12,7 +12,7 @@
 5. *Long lists* never give pairs. Their nodes are joined to clusters; each cluster is compared with one pivot. Nodes
    linked to it are done among themselves. Since Jaccard distance is a metric, any other node can only link to nodes
    whose distance from the pivot differs by at most 1 - t, so it is compared within neighbouring rings, in blocks of
-   ``BLOCK`` nodes that are spread over tasks. A block reports a spanning forest of its links, not all of them.
+   ``BLOCK`` nodes that are spread over tasks; within rings, only nodes of neighbouring sizes meet. A block reports a spanning forest of its links, not all of them.
 6. Links make components (no link between different sets is lost); members take the least id.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing, not even with each
@@ -39,8 +39,10 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 16
 LEVELS = 3
 VERIFY_COST = 8.0
-LIST = 64
+LIST = 1024
 BLOCK = 256
+GROUP = 1024
+STEPS = 100_000
 KEPT_WORDS = 1_000_000
 FILTER_BITS = 22
 MIX = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -187,35 +189,39 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return settle(found.groupBy("md5").agg(F.first("tokens").alias("tokens")).join(wanted, "md5").select("sig", "tokens"))
 
 
-def similar(a: str, b: str, percent: int):
-    both = F.size(F.array_intersect(a, b))
-    return both * 100 >= (F.size(a) + F.size(b) - both) * percent
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs' links. Pairs are joined to groups, and each set of a group of up to ``BLOCK`` nodes is sent once, to the
-    task that compares the group; only pairs of larger groups carry their sets."""
-    labels = settle(connected(pairs))
-    sizes = labels.groupBy("label").count()
-    small = settle(labels.join(sizes.where(F.col("count") <= BLOCK), "label").select(F.col("node").alias("sig"), "label"))
-    bins = max(1, small.count() // 1000)
-    full = small.join(sets, "sig").withColumn("bin", F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for _, g in group.groupby("label"):
-            ids, tokens = list(g["sig"]), list(g["tokens"])
-            out += links(ids, tokens, ids, tokens, percent)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    found = full.groupBy("bin").applyInPandas(compare, "a long, b long")
-    rest = pairs.join(small.select(F.col("sig").alias("a")), "a", "left_anti")
-    left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    return found.unionByName(rest.join(left, "a").join(right, "b").where(similar("ta", "tb", percent)).select("a", "b"))
+    """The pairs' links. Pairs with a common least neighbour are dealt to the same task, where each set is sent once.
+
+    Of more than ``GROUP`` such nodes parts are made, and pairs are dealt by the pair of their parts. How pairs are dealt
+    decides what is sent, not what is found.
+    """
+    ends = pairs.select(F.col("a").alias("node"), "b").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("b")))
+    labels = settle(ends.groupBy("node").agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    parts = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k"))
+    part = labels.join(parts, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part"))
+    bins = max(1, labels.count() // 500)
+    at = lambda c: part.select(F.col("node").alias(c), "label", F.col("part").alias(f"part_{c}"))
+    both = pairs.join(at("a"), "a").join(at("b").withColumnRenamed("label", "label_b"), "b")
+    label = F.least("label", "label_b")
+    dealt = settle(both.select("a", "b", F.pmod(F.xxhash64(label, "part_a", "part_b"), F.lit(bins)).cast("int").alias("bin")))
+    used = dealt.select(F.col("bin").alias("at"), F.col("a").alias("sig")).union(dealt.select(F.col("bin").alias("at"), "b")).distinct().join(sets, "sig")
+
+    def compare(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        tokens = dict(zip(known["sig"], known["tokens"]))
+        hit = []
+        for a, b in zip(asked["a"], asked["b"]):
+            x, y = tokens[a], tokens[b]
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            hit.append(n * 100 >= (len(x) + len(y) - n) * percent)
+        return asked.loc[np.array(hit, bool), ["a", "b"]]
+
+    return dealt.groupBy("bin").cogroup(used.groupBy("at")).applyInPandas(compare, "a long, b long")
 
 
 def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among nodes of long posting lists, by pivot, rings and blocks."""
+    if long.isEmpty():
+        return long.sparkSession.createDataFrame([], "a long, b long")
     stars = long.groupBy("token").agg(F.min("sig").alias("b"))
     edges = long.join(stars, "token").select(F.col("sig").alias("a"), "b").distinct()
     clusters = connected(edges).select(F.col("node").alias("sig"), F.col("label").alias("cluster"))
@@ -225,26 +231,29 @@ def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivots = pivots.join(sets.select(F.col("sig").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
     both = F.size(F.array_intersect("tokens", "tp"))
     union = F.size("tokens") + F.size("tp") - both
-    near = members.join(sets, "sig").join(pivots, "cluster").select("cluster", "sig", "pivot", both.alias("both"), union.alias("union"))
+    near = members.join(sets, "sig").join(pivots, "cluster").select("cluster", "sig", "pivot", F.size("tokens").alias("n"), both.alias("both"), union.alias("union"))
     linked = F.col("both") * 100 >= F.col("union") * percent
     width = 100 - percent
     ring = F.greatest(F.lit(1), F.floor((F.col("union") - F.col("both")) * 100 / (F.col("union") * width)).cast("int"))
-    near = settle(near.select("cluster", "sig", "pivot", F.when(linked, 0).otherwise(ring).alias("ring")))
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")  # similar sizes are at most a step apart
+    near = settle(near.select("cluster", "sig", "pivot", F.when(linked, 0).otherwise(ring).alias("ring"), step.alias("step")))
     first = near.where((F.col("ring") == 0) & (F.col("sig") != F.col("pivot"))).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
-    sizes = near.groupBy("cluster", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    per = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("ks"))  # rings: at most 100 / width + 1
+    cell = lambda r, s: r * STEPS + s
+    placed = near.withColumn("ring", cell(F.col("ring"), F.col("step")))
+    sizes = placed.groupBy("cluster", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    per = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("ks"))  # rings by steps: a bounded number
     own = F.pmod(F.xxhash64("sig"), F.col("ks")[F.col("ring")]).cast("int")
-    placed = near.join(per, "cluster").withColumn("block", own)
+    placed = placed.join(per, "cluster").withColumn("block", own)
 
-    def partners(step: int):
-        ring = F.col("ring") + step
+    def partners(rings: int, steps: int):
+        ring = F.col("ring") + cell(rings, steps)
         there = F.coalesce(F.try_element_at("ks", ring), F.lit(0))
         other = F.transform(F.sequence(F.lit(0), there - 1), lambda j: F.struct(ring.alias("ring"), j.cast("int").alias("block")))
-        skip = (there == 0) | ((F.col("ring") == 0) & (ring == 0))
+        skip = (there == 0) | ((F.col("ring") < STEPS) & (ring < STEPS))
         return F.when(skip, F.array().cast("array<struct<ring:int,block:int>>")).otherwise(other)
 
     here = F.struct(F.col("ring").alias("ring"), F.col("block").alias("block"))
-    copies = placed.select("cluster", "sig", here.alias("here"), F.explode(F.concat(partners(-1), partners(0), partners(1))).alias("there"))
+    copies = placed.select("cluster", "sig", here.alias("here"), F.explode(F.concat(*(partners(r, t) for r in (-1, 0, 1) for t in (-1, 0, 1)))).alias("there"))
     keyed = copies.select("cluster", F.least("here", "there").alias("low"), F.greatest("here", "there").alias("high"), (F.col("here") <= F.col("there")).alias("side"), "sig")
     full = keyed.join(sets, "sig").withColumn("key", F.concat_ws(":", F.col("cluster").cast("string"), F.to_json("low"), F.to_json("high")))
 
