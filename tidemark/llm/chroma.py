@@ -6,9 +6,11 @@ quantised answers of sixteen filters, two bits each, make one packed integer a f
 offset at which most of their integers are equal (the histogram's peak); they match if the share of differing bits in
 the overlap there is small.
 
-Recordings with equal fingerprints are one class, so copies cost nothing further. Candidates are classes that share one
-of their ``LANDMARKS`` least hashed pairs of integers; they are verified on whole fingerprints. The candidate search is
-approximate (tests hold its recall against all pairs), the verification is exact.
+Recordings with equal fingerprints are one class, so copies cost nothing further. Every query is aligned with every
+class that shares any integer with it, whatever the lengths: fingerprints are dealt into blocks of about ``BLOCK``
+integers, each block of queries meets each block of classes, and one sorted index of the queries' integers gives the
+offsets' votes of a whole block. So the result is that of ``align`` on all pairs; the work grows with queries x
+recordings, and each class is sent once per block of queries.
 
 Defined results: audio that is null, too short, silent or not PCM WAV has no fingerprint and matches nothing. Repeated
 rows are recordings of their own. Of equally good matches the least id is best. An empty table gives no rows. Extra
@@ -33,8 +35,10 @@ from .common import batches, settle
 FRAME, HOP = 512, 128
 WINDOW = 16
 FILTERS = 16
-LANDMARKS = 16
-APART = 16
+#: Integers in a block, blocks that a small table has at least, and votes that are counted at once.
+BLOCK = 1 << 20
+PARTS = 64
+VOTES = 1 << 21
 MOST_ERRORS = 0.15
 LEAST_OVERLAP = 20
 #: Cuts of the log ratio of two areas; codes differ in one bit from step to step.
@@ -125,12 +129,19 @@ def fingerprint(data: bytes | None) -> np.ndarray | None:
     return out.view(np.int32)
 
 
-def landmarks(f: np.ndarray) -> np.ndarray:
-    """The least hashed pairs of integers that are ``APART`` frames from each other; one integer alone is too common."""
-    u = f.view(np.uint32).astype(np.uint64) + np.uint64(1)
-    pairs = u[:-APART] * np.uint64(0x9E3779B97F4A7C15) + u[APART:] if len(u) > APART else u
-    h = np.unique(pairs * np.uint64(0xC2B2AE3D27D4EB4F) ^ (pairs >> np.uint64(29)))
-    return h[:LANDMARKS].view(np.int64)
+def expanded(lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row k repeated ``count[k]`` times, and beside it lo[k], lo[k] + 1, ..."""
+    ends = np.cumsum(count)
+    return np.repeat(np.arange(len(count)), count), np.arange(ends[-1]) + np.repeat(lo - ends + count, count)
+
+
+def portions(count: np.ndarray) -> Iterator[slice]:
+    """Consecutive rows with at most ``VOTES`` votes together, or one row."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VOTES, "right")))
+        yield slice(at, to)
+        at = to
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
@@ -140,9 +151,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
     count = hi - lo
     if not count.sum():
         return None
-    i = np.repeat(np.arange(len(a)), count)
-    j = order[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    histogram = np.bincount(i - j + len(b) - 1)
+    histogram = np.zeros(len(a) + len(b) - 1, np.int64)
+    for part in portions(count):
+        i, at = expanded(lo[part], count[part])
+        histogram += np.bincount(i + part.start - order[at] + len(b) - 1, minlength=len(histogram))
     offset = int(np.argmax(histogram)) - len(b) + 1
     x, y = a[max(0, offset) :], b[max(0, -offset) :]
     n = min(len(x), len(y))
@@ -151,8 +163,54 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float] | None:
     return offset, float(np.bitwise_count(x[:n].view(np.uint32) ^ y[:n].view(np.uint32)).sum() / (32 * n))
 
 
+class Index:
+    """The sorted integers of many fingerprints; ``meet`` aligns each of them with another one as ``align`` would."""
+
+    def __init__(self, prints: list[np.ndarray]) -> None:
+        self.prints = prints
+        self.sizes = np.array([len(f) for f in prints])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(prints)
+        order = np.argsort(self.flat, kind="stable")
+        self.sorted = self.flat[order]
+        self.owner = np.repeat(np.arange(len(prints)), self.sizes)[order]
+        self.place = order - self.starts[self.owner]
+
+    def meet(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, offset, errors) of those that match b."""
+        lo, hi = np.searchsorted(self.sorted, b, "left"), np.searchsorted(self.sorted, b, "right")
+        count = hi - lo
+        votes = int(count.sum())
+        if not votes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if votes > VOTES:
+            got = [(k, x) for k, f in enumerate(self.prints) if (x := align(f, b)) and x[1] <= MOST_ERRORS]
+            return np.array([k for k, _ in got], np.int64), np.array([x[0] for _, x in got], np.int64), np.array([x[1] for _, x in got])
+        j, at = expanded(lo, count)
+        span = int(self.sizes.max()) + len(b)
+        keys, n = np.unique(self.owner[at] * span + self.place[at] - j + len(b) - 1, return_counts=True)
+        owner = keys // span
+        first = np.lexsort((keys, -n, owner))
+        which, k = np.unique(owner[first], return_index=True)
+        offset = keys[first[k]] - which * span - len(b) + 1
+        x, y = np.maximum(offset, 0), np.maximum(-offset, 0)
+        long = np.minimum(self.sizes[which] - x, len(b) - y)
+        keep = long >= LEAST_OVERLAP
+        which, offset, x, y, long = which[keep], offset[keep], x[keep], y[keep], long[keep]
+        if not len(which):
+            return which, offset, np.zeros(0)
+        bits = np.empty(len(which), np.int64)
+        for part in portions(long):
+            _, p = expanded(self.starts[which[part]] + x[part], long[part])
+            _, r = expanded(y[part], long[part])
+            bits[part] = np.add.reduceat(np.bitwise_count(self.flat[p].view(np.uint32) ^ b[r].view(np.uint32)).astype(np.int64), np.cumsum(long[part]) - long[part])
+        errors = bits / (32 * long)
+        good = errors <= MOST_ERRORS
+        return which[good], offset[good], errors[good]
+
+
 def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
-    """(id, sig, ints, marks) of each row."""
+    """(id, sig, ints) of each row."""
     batches(media.sparkSession)
     rows = media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -161,24 +219,39 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
         for batch in them:
             got = [fingerprint(x) for x in batch.column("audio").to_pylist()]
             sig = [None if f is None else hashlib.md5(f.tobytes()).digest() for f in got]
-            marks = [None if f is None else landmarks(f) for f in got]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sig, pa.binary()), pa.array(got, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "sig", "ints", "marks"])
-
-    return rows.mapInArrow(run, f"id {kind}, sig binary, ints array<int>, marks array<long>")
-
-
-def aligned(pairs: DataFrame) -> DataFrame:
-    """Pairs (q, m, fq, fm) with the offset and errors of those that match."""
-
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in them:
-            fq, fm = (batch.column(c).to_pylist() for c in ("fq", "fm"))
-            got = [align(np.array(a, np.int32), np.array(b, np.int32)) for a, b in zip(fq, fm)]
-            keep = [k for k, g in enumerate(got) if g and g[1] <= MOST_ERRORS]
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(take), batch.column("m").take(take), pa.array([got[k][0] for k in keep], pa.int32()), pa.array([got[k][1] for k in keep], pa.float64())], names=["q", "m", "offset", "errors"])
-
-    return pairs.select("q", "m", "fq", "fm").mapInArrow(run, "q binary, m binary, offset int, errors double")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sig, pa.binary()), pa.array(got, pa.list_(pa.int32()))], names=["id", "sig", "ints"])
+
+    return rows.mapInArrow(run, f"id {kind}, sig binary, ints array<int>")
+
+
+def aligned(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per asked fingerprint and block of other ones: how many recordings match and the best class (q, n, errors, least, offset)."""
+    total = lambda df: df.agg(F.sum(F.size("ints").cast("long"))).first()[0] or 0
+    rows, most = -(-total(asked) // BLOCK) or 1, total(classes)
+    columns = max(-(-most // BLOCK), min(PARTS, -(-PARTS * most // BLOCK))) or 1
+    deal = lambda n: F.pmod(F.xxhash64("sig"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(deal(rows).alias("row"), every(columns).alias("column"), F.col("sig").alias("q"), F.col("ints").alias("fq"))
+    right = classes.select(every(rows).alias("row"), deal(columns).alias("column"), F.col("sig").alias("m"), F.col("ints").alias("fm"), F.col("size").alias("copies"), F.col("least").alias("first"))
+    kind = classes.schema["least"].dataType.simpleString()
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        qs = a.column("q").to_pylist()
+        n, best = [0] * len(qs), [None] * len(qs)
+        if qs and len(b):
+            index = Index([x.values.to_numpy() for x in a.column("fq")])
+            for m, ints, size, least in zip(b.column("m").to_pylist(), b.column("fm"), b.column("copies").to_pylist(), b.column("first").to_pylist()):
+                for k, offset, errors in zip(*(x.tolist() for x in index.meet(ints.values.to_numpy()))):
+                    if qs[k] != m:
+                        n[k] += size
+                        this = (errors, least is not None, least, offset)
+                        best[k] = this if best[k] is None else min(best[k], this)
+        got = [k for k, x in enumerate(best) if x]
+        columns = ([qs[k] for k in got], [n[k] for k in got], *([best[k][c] for k in got] for c in (0, 2, 3)))
+        kinds = (pa.binary(), pa.int64(), pa.float64(), b.schema.field("first").type, pa.int32())
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=["q", "n", "errors", "least", "offset"])
+
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(run, f"q binary, n long, errors double, least {kind}, offset int")
 
 
 def search(media: DataFrame, queries: object, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
@@ -188,15 +261,11 @@ def search(media: DataFrame, queries: object, id_col: str = "id", audio_col: str
     """
     each = settle(fingerprints(media, id_col, audio_col))
     sound = each.where("sig IS NOT NULL")
-    classes = settle(sound.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("ints").alias("ints"), F.first("marks").alias("marks")))
+    classes = settle(sound.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("ints").alias("ints")))
     asked = each.where(queries).select("id", "sig", F.coalesce(F.size("ints"), F.lit(0)).alias("n_frames"))
     heard = asked.where("sig IS NOT NULL").select(F.col("sig").alias("q")).distinct()
-    marks = lambda c: classes.select(F.col("sig").alias(c), F.explode("marks").alias("mark"))
-    met = marks("q").join(heard, "q", "left_semi").join(marks("m"), "mark").where("q <> m").select("q", "m").distinct()
-    whole = lambda s, f: classes.select(F.col("sig").alias(s), F.col("ints").alias(f))
-    found = aligned(met.join(whole("q", "fq"), "q").join(whole("m", "fm"), "m"))
-    sizes = classes.select(F.col("sig").alias("m"), "size", "least")
-    best = found.join(sizes, "m").groupBy("q").agg(F.sum("size").alias("n"), F.min(F.struct("errors", "least", "offset")).alias("best"))
+    found = aligned(classes.join(heard, F.col("sig") == F.col("q"), "left_semi"), classes)
+    best = found.groupBy("q").agg(F.sum("n").alias("n"), F.min(F.struct("errors", "least", "offset")).alias("best"))
     out = asked.join(best.withColumnRenamed("q", "sig"), "sig", "left").join(classes.select("sig", "least", "size"), "sig", "left")
     second = sound.select("sig", F.col("id").alias("other")).join(classes.select("sig", "least"), "sig").where("other <> least").groupBy("sig").agg(F.min("other").alias("second"))
     out = out.join(second, "sig", "left")
