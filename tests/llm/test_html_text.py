@@ -25,3 +25,23 @@ def test_extract_keeps_rows(spark):
     rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "v", "")]
     got = sorted(((r["page_id"] or 0), r["text"], r["n_chars"]) for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [(0, "", 0), (1, "T One two. Three.", 17), (1, "T One two. Three.", 17), (2, "", 0)]
+
+
+def test_deep_wrappers():
+    """Nearly all of these pages' blocks have more than 16 marks on their path."""
+    net, rng = ht.learn(), random.Random(78)
+    pages = [ht.made_up_page(rng, deep=True) for _ in range(150)]
+    cut = [ht.blocks(page) for page, _ in pages]
+    assert sum(len(b.path) > 16 for page in cut for b in page) > 0.8 * sum(map(len, cut))
+    marks = net.label(map(ht.vectors, cut))
+    right = [(p >= 0.5) == (b.text in article) for page, ps, (_, article) in zip(cut, marks, pages) for b, p in zip(page, ps)]
+    assert sum(right) >= 0.96 * len(right)
+    assert sum(text == " ".join(article) for text, (_, article) in zip(ht.main_texts([page for page, _ in pages], net), pages)) >= 0.7 * len(pages)
+
+
+def test_every_mark_and_word_counts():
+    inner = "<div class='col-md-8 col-sm-12 d-flex'>" * 4
+    nav, article = (ht.vectors(ht.blocks(f"<{tag}>{inner}<p>One two.")) for tag in ("nav", "article"))
+    assert (nav != article).any()
+    one, other = (ht.vectors(ht.blocks("<p>" + "same " * 60 + last)) for last in ("lasta", "lastb"))
+    assert (one != other).any()

@@ -3,10 +3,12 @@
 A page becomes a sequence of leaf blocks: text between tags that start or end a block, with the path of open elements.
 A numpy bidirectional LSTM reads, for each block, a vector of its hashed tag path (names, classes and ids of the open
 elements) and of its hashed words with a few measures, and labels every block with the whole page before and behind it
-in view. Blocks labelled as article are joined.
+in view. Every mark of the path and every word counts, however deep or long; the vectors' lengths alone bound them.
+Blocks labelled as article are joined.
 
 There are no labelled pages, so the network learns from pages that a rule makes up: menus, headers, adverts, notices,
-forms, side columns, reader comments and footers in varied markup around articles whose blocks are known.
+forms, side columns, reader comments and footers in varied markup, flat or in deep wrappers of many classes, around
+articles whose blocks are known.
 
 Defined results: null or empty pages, and pages without an article, give an empty text. Comments, scripts, styles and
 other raw elements never give text; what is open at the end counts as closed there. Character references are decoded,
@@ -20,7 +22,7 @@ import html as entities
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -40,12 +42,11 @@ LISTS = frozenset("ul ol dl table body".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PATH_DIMS, WORD_DIMS, MEASURES = 96, 24, 4
+PATH_DIMS, WORD_DIMS, MEASURES = 1024, 24, 4
 INPUT = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 EPOCHS = 14
-PAGES = 360
-DEPTH = 8
+PAGES = 1000
 TOGETHER = 64
 
 
@@ -128,11 +129,11 @@ def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), INPUT), np.float32)
     for k, b in enumerate(page):
         row = x[k]
-        for depth, mark in enumerate(b.path[-DEPTH * 2 :]):
+        for mark in b.path:
             row[place(mark, PATH_DIMS)] = 1
             if "." in mark:
                 row[place("." + mark.split(".", 1)[1], PATH_DIMS)] = 1
-        words = b.text.split(" ", 40)[:40]
+        words = b.text.split(" ")
         for w in words:
             row[PATH_DIMS + place(w, WORD_DIMS)] += 1 / len(words)
         row[-4:] = (np.log1p(len(b.text)) / 6, b.linked, k / len(page), float(b.text[-1:] in ".!?"))
@@ -149,8 +150,12 @@ class Labeller:
     out: np.ndarray
     bias: float
 
+    def into(self, x: np.ndarray) -> np.ndarray:
+        """What the inputs add to the gates of both directions, side by side."""
+        return np.concatenate([x @ w + b for w, b in zip(self.w, self.b)], -1)
+
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """x: time, pages, inputs. Where the mask is 0 the state stays; so padding behind a page changes nothing."""
+        """x: time, pages, ``into`` of inputs. Where the mask is 0 the state stays; so padding behind a page changes nothing."""
         hs = []
         for d in (0, 1):
             xs, ms = (x, mask) if d == 0 else (x[::-1], mask[::-1])
@@ -158,8 +163,7 @@ class Labeller:
             h = np.zeros((pages, HIDDEN), np.float32)
             c = np.zeros_like(h)
             all_h = np.empty((steps, pages, HIDDEN), np.float32)
-            inner = xs.reshape(-1, INPUT) @ self.w[d] + self.b[d]
-            inner = inner.reshape(steps, pages, -1)
+            inner = xs[..., d * 4 * HIDDEN : (d + 1) * 4 * HIDDEN]
             trace = []
             for t in range(steps):
                 z = inner[t] + h @ self.u[d]
@@ -176,14 +180,15 @@ class Labeller:
                 all_h[t] = h
             hs.append(all_h if d == 0 else all_h[::-1])
             if keep is not None:
-                keep.append((xs, trace))
+                keep.append(trace)
         both = np.concatenate(hs, 2)
         if keep is not None:
             keep.append(both)
         return 1 / (1 + np.exp(-np.clip(both @ self.out + self.bias, -30, 30)))
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def label(self, pages: Iterable[np.ndarray]) -> list[np.ndarray]:
         """Probabilities of each page's blocks; pages of like length are read side by side."""
+        pages = [self.into(p) for p in pages]
         got: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         for lo in range(0, len(order), TOGETHER):
@@ -197,7 +202,7 @@ class Labeller:
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
-    x = np.zeros((steps, len(pages), INPUT), np.float32)
+    x = np.zeros((steps, len(pages), pages[0].shape[1]), np.float32)
     mask = np.zeros((steps, len(pages)), np.float32)
     for j, p in enumerate(pages):
         x[: len(p), j] = p
@@ -224,13 +229,13 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCH
             for j, k in enumerate(some):
                 y[: len(labels[k]), j] = labels[k]
             keep: list = []
-            p = net.forward(x, mask, keep)
+            p = net.forward(net.into(x), mask, keep)
             both = keep[2]
             d = (p - y) * mask / mask.sum()
             grads_w, grads_u, grads_b = [], [], []
             g_out, g_bias = np.einsum("tp,tph->h", d, both), float(d.sum())
             for side in (0, 1):
-                xs, trace = keep[side]
+                xs, trace = x if side == 0 else x[::-1], keep[side]
                 dh_all = d[:, :, None] * net.out[side * HIDDEN : (side + 1) * HIDDEN]
                 dh_all = dh_all if side == 0 else dh_all[::-1]
                 dh = np.zeros_like(trace[0][0])
@@ -259,8 +264,13 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCH
     return net
 
 
-def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page and the blocks of its article."""
+#: Classes that say nothing of what an element is for.
+NEUTRAL = "row container container-fluid col-md-8 col-sm-12 col-lg-9 col-xs-6 wrapper inner outer d-flex justify-content-between align-items-center p-3 mb-4 mt-auto grid grid__item block region layout-main layout__inner u-clearfix js-track w-full max-w-screen-lg md:flex section-inner is-wide has-bg".split()
+
+
+def made_up_page(rng: random.Random, deep: bool | None = None) -> tuple[str, list[str]]:
+    """A page and the blocks of its article; in a deep one (half of them, if not said) wrappers of many classes stand around and in each part."""
+    deep = rng.random() < 0.5 if deep is None else deep
     word = lambda: "".join(rng.choice("aabcdeefghiilmnooprsttuvéüñ") for _ in range(rng.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     pick = rng.choice
@@ -272,28 +282,37 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
     def noise(kind: str) -> str:
         if kind == "menu":
             tag = pick(["nav", 'div class="menu"', 'div id="navigation"', 'ul class="nav"'])
-            return f"<{tag}><ul>{links(rng.randint(2, 8))}</ul></{tag.split()[0]}>"
+            return f"<{tag}>{wrapped(f'<ul>{links(rng.randint(2, 8))}</ul>')}</{tag.split()[0]}>"
         if kind == "header":
             tag = pick(["header", 'div class="header"', 'div id="site-header"', 'div class="masthead"'])
-            return f"<{tag}><{pick(['h1', 'p', 'div'])}>{words(1, 5)}</{tag.split()[0]}>"
+            within = pick(["h1", "p", "div"])
+            return f"<{tag}>{wrapped(f'<{within}>{words(1, 5)}' + f'</{within}>' * deep)}</{tag.split()[0]}>"
         if kind == "footer":
             tag = pick(["footer", "footer", 'div class="footer"', 'div id="page-footer"', 'div class="copyright"'])
-            return f"<{tag}>{pick(['&copy; ', '', '<p>'])}{words(2, 30)}</{tag.split()[0]}>"
+            return f"<{tag}>{wrapped(pick(['&copy; ', '', '<p>']) + words(2, 30))}</{tag.split()[0]}>"
         if kind == "ad":
             tag = pick(['div class="ad"', 'div class="ads banner"', 'div class="advert"', 'aside class="promo"', 'div id="ad-1"', 'div class="sponsored"'])
-            return f"<!-- ad --><{tag}>{pick(['', '<p>', '<a href=x>'])}{words(2, 25)}.</{tag.split()[0]}>"
+            return f"<!-- ad --><{tag}>{wrapped(pick(['', '<p>', '<a href=x>']) + words(2, 25) + '.')}</{tag.split()[0]}>"
         if kind == "notice":
             tag = pick(['div class="cookie notice"', 'div class="cookie-banner"', 'div role="alert"', 'div class="consent"', 'div class="notice"', 'div class="newsletter"'])
-            return f"<{tag}><p>{words(4, 25)}.</p><button>{word()}</button></{tag.split()[0]}>"
+            return f"<{tag}>{wrapped(f'<p>{words(4, 25)}.</p><button>{word()}</button>')}</{tag.split()[0]}>"
         if kind == "form":
             return f"<form class='{pick(['search', 'login', 'subscribe'])}'><p>{words(1, 8)}</p><label>{words(1, 3)}</label><input><button>{word()}</button></form>"
         if kind == "side":
             tag = pick(["aside", 'div class="sidebar"', 'aside class="related"', 'div class="widget"', 'section class="related-posts"'])
             body = pick([f"<ul>{links(rng.randint(2, 6))}</ul>", f"<p>{words(5, 30)}.</p>"])
-            return f"<{tag}><h3>{words(1, 3)}</h3>{body}</{tag.split()[0]}>"
+            return f"<{tag}>{wrapped(f'<h3>{words(1, 3)}</h3>{body}')}</{tag.split()[0]}>"
         tag = pick(['section class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div class="discussion comments"'])
-        each = "".join(f"<{pick(['div', 'li', 'article'])} class='comment'><p>{words(3, 30)}.</p>" for _ in range(rng.randint(1, 5)))
-        return f"<{tag}><h3>{words(1, 3)}</h3>{each}</{tag.split()[0]}>"
+        each = "".join(f"<{pick(['div', 'li', 'article'])} class='comment'>{wrapped(f'<p>{words(3, 30)}.</p>')}" for _ in range(rng.randint(1, 5)))
+        return f"<{tag}>{wrapped(f'<h3>{words(1, 3)}</h3>{each}')}</{tag.split()[0]}>"
+
+    def wrapped(inner: str, most: int = 5) -> str:
+        if not deep:
+            return inner
+        count = rng.randint(0, most)
+        made = lambda: pick(NEUTRAL) if rng.random() < 0.9 else f"{word()}-{word()}"
+        opened = "".join(f"<div class='{' '.join(made() for _ in range(rng.randint(1, 5)))}'>" for _ in range(count))
+        return opened + inner + "</div>" * count
 
     def own(text: str) -> str:
         article.append(text)
@@ -308,7 +327,7 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
                 if rng.random() < 0.2:
                     out.append(f"<p><b>{own(words(1, 60) + end)}<br>")
                 else:
-                    out.append(f"<p>{own(words(1, 70) + end)}</p>")
+                    out.append(wrapped(f"<p>{own(words(1, 70) + end)}</p>", 3))
             elif kind < 0.74:
                 out.append(f"<h{pick('234')}>{own(words(1, 6))}</h2>")
             elif kind < 0.82:
@@ -326,9 +345,9 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
     before = [noise(k) for k in ("notice", "header", "menu", "ad", "form") if rng.random() < 0.55]
     after = [noise(k) for k in ("ad", "comments", "side", "menu", "form") if rng.random() < 0.4] + [noise("footer")] * (rng.random() < 0.85)
     tag = pick(["article", "article", "article", "main", 'div class="content"', 'div class="entry-content"', 'div id="article-body"', 'div class="post"'])
-    inner = f"<{tag}>{body()}</{tag.split()[0]}>" if rng.random() < 0.96 else ""
+    inner = f"<{tag}>{wrapped(body())}</{tag.split()[0]}>" if rng.random() < 0.96 else ""
     rng.shuffle(before)
-    page = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before)}{inner}{''.join(after)}"
+    page = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{wrapped(''.join(before) + wrapped(inner) + ''.join(after))}"
     return page + "</body></html>" * (rng.random() < 0.9), article
 
 
@@ -348,7 +367,7 @@ def learn(count: int = PAGES) -> Labeller:
 
 def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
     cut = [blocks(p or "") for p in pages]
-    marks = net.label([vectors(b) if b else np.zeros((0, INPUT), np.float32) for b in cut])
+    marks = net.label(vectors(b) for b in cut)
     return [" ".join(b.text for b, p in zip(page, ps) if p >= 0.5) for page, ps in zip(cut, marks)]
 
 
