@@ -61,3 +61,13 @@ def test_null_ids_and_empty_tables(spark):
     got = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in nj.near_copies(docs).collect())
     assert got == [(-1, 0, None), (-1, 2, None), (4, 2, 4)]
     assert nj.near_copies(docs.limit(0)).count() == 0
+
+
+def test_links_at_the_threshold_in_long_lists(spark):
+    """Pivot 1 and node 3 are each exactly a tenth from 2, and two tenths from each other."""
+    whole = list(range(100))
+    nodes = {1: whole[10:], 2: whole, 3: whole[:90]}
+    long = spark.createDataFrame([(k, 50, 9 if k == 1 else 5) for k in nodes], "sig long, token long, count int")
+    sets = spark.createDataFrame(list(nodes.items()), "sig long, tokens array<long>")
+    got = {tuple(sorted(r)) for r in nj.cluster_links(long, sets, 90).collect()}
+    assert got == {(1, 2), (2, 3)}

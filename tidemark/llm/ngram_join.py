@@ -234,10 +234,11 @@ def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = members.join(sets, "sig").join(pivots, "cluster").select("cluster", "sig", "pivot", F.size("tokens").alias("n"), both.alias("both"), union.alias("union"))
     linked = F.col("both") * 100 >= F.col("union") * percent
     width = 100 - percent
-    ring = F.greatest(F.lit(1), F.floor((F.col("union") - F.col("both")) * 100 / (F.col("union") * width)).cast("int"))
+    # Linked nodes have ring 0, but those at the very threshold ring 1, so that they also meet ring 2.
+    ring = F.floor((F.col("union") - F.col("both")) * 100 / (F.col("union") * width)).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")  # similar sizes are at most a step apart
-    near = settle(near.select("cluster", "sig", "pivot", F.when(linked, 0).otherwise(ring).alias("ring"), step.alias("step")))
-    first = near.where((F.col("ring") == 0) & (F.col("sig") != F.col("pivot"))).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
+    near = settle(near.select("cluster", "sig", "pivot", linked.alias("linked"), ring.alias("ring"), step.alias("step")))
+    first = near.where(F.col("linked") & (F.col("sig") != F.col("pivot"))).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
     cell = lambda r, s: r * STEPS + s
     placed = near.withColumn("ring", cell(F.col("ring"), F.col("step")))
     sizes = placed.groupBy("cluster", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
