@@ -29,3 +29,9 @@ def test_query(spark, duck, name):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = duck.execute(registry.oracle_sql()[name])
     assert got == rows([x[0] for x in cur.description], cur.fetchall())
+
+
+def test_wrong_signatures_do_not_hold(spark, monkeypatch):
+    right = registry.web.signature_column
+    monkeypatch.setattr(registry.web, "signature_column", lambda secret: right("another secret"))
+    assert registry.queries()["webhook_signature"](spark, DATA).count() == 0

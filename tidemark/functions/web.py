@@ -175,6 +175,16 @@ def signature_column(secret: str):
     return signed
 
 
+def verified_column(secret: str, now_ms: int):
+    """``verify`` as an Arrow UDF of (id, timestamp, body, header)."""
+
+    @F.pandas_udf("boolean")
+    def verified(ids: pd.Series, times: pd.Series, bodies: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([verify(secret, *x, now_ms) for x in zip(ids, times, bodies, headers)], dtype=bool)
+
+    return verified
+
+
 def weak_etag_equal(a: Column, b: Column) -> Column:
     """F26."""
     bare = lambda c: F.regexp_replace(F.trim(c), "^W/", "")
