@@ -47,8 +47,8 @@ def corpus(n=260, seed=3):
 
 
 def test_classes_are_those_of_all_pairs(spark, monkeypatch):
-    """With lists above 64 entries counted as long and blocks of 16, so that every way is taken."""
-    monkeypatch.setattr(nj, "LIST", 64)
+    """With lists above 64 entries as shipped, and blocks of 16, so that every way is taken."""
+    assert nj.LIST == 64
     monkeypatch.setattr(nj, "BLOCK", 16)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -69,5 +69,17 @@ def test_links_at_the_threshold_in_long_lists(spark):
     nodes = {1: whole[10:], 2: whole, 3: whole[:90]}
     long = spark.createDataFrame([(k, 50, 9 if k == 1 else 5) for k in nodes], "sig long, token long, count int")
     sets = spark.createDataFrame(list(nodes.items()), "sig long, tokens array<long>")
-    got = {tuple(sorted(r)) for r in nj.cluster_links(long, sets, 90).collect()}
+    got = {tuple(sorted(r)) for r in nj.group_links(long, sets, 90).collect()}
     assert got == {(1, 2), (2, 3)}
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from tidemark.llm import components
+
+    monkeypatch.setattr(components, "HOT", 3)
+    star = [(5, k) for k in range(10, 40)]
+    chain = [(k, k + 1) for k in range(100, 130)]
+    edges = spark.createDataFrame([*star, *chain, (39, 5), (7, 7), (40, 39)], "a long, b long")
+    got = dict(map(tuple, components.connected(edges).collect()))
+    assert got == {5: 5} | {k: 5 for k in range(10, 41)} | {k: 100 for k in range(100, 131)}
+    assert components.connected(edges.limit(0)).count() == 0

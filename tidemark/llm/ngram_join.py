@@ -2,17 +2,20 @@
 
 1. *Sets*: the shingles of a text are 64-bit hashes; documents with equal sets become one node, so exact copies cost
    nothing further.
-2. *Order*: shingles are ordered by level, then hash. Levels are logarithms of counts in a sketch of 2**20 counters over
-   all documents, so what is frequent comes last; any fixed order keeps the join exact.
+2. *Order*: shingles of rare words come first, by the product of the words' frequencies; but those that a sketch of 2**20
+   counters over all documents shows to be frequent come last, by logarithms of their counts. Any fixed order keeps the
+   join exact.
 3. *Prefixes*: with an l-prefix of n - ceil(t n) + l shingles, two sets of similarity t share at least l of them. Each node
    takes the l from 1 to 3 whose estimated cost is least: the other entries of its prefix's posting lists are read, and
    at most their l-th part is verified. A pair needs the smaller l of the two in common.
-4. *Short posting lists* (up to ``LIST``) give pairs whose sizes fit; those that share enough are verified on whole sets,
-   which are sent once per group of connected pairs.
-5. *Long lists* never give pairs. Their nodes are joined to clusters; each cluster is compared with one pivot. Nodes
-   linked to it are done among themselves. Since Jaccard distance is a metric, any other node can only link to nodes
-   whose distance from the pivot differs by at most 1 - t, so it is compared within neighbouring rings, in blocks of
-   ``BLOCK`` nodes that are spread over tasks; within rings, only nodes of neighbouring sizes meet. A block reports a spanning forest of its links, not all of them.
+4. *Short posting lists* (up to ``LIST`` entries, so an entry meets a bounded number of others) give pairs whose sizes
+   fit; those that share enough are verified on whole sets, which are sent once per group of connected pairs.
+5. *Long lists* never give pairs. Each goes to its head, the node that meets most others; the nodes of a head's lists are
+   compared with the head. Nodes linked to it are done among themselves. Since Jaccard distance is a metric, any other
+   node can only link to nodes whose distance from the head differs by at most 1 - t, so it is compared within
+   neighbouring rings, in blocks of ``BLOCK`` nodes that are spread over tasks; within rings, only nodes of neighbouring
+   sizes meet. Blocks and bins report spanning forests of their links, not all of them. Among the nodes of one ring and
+   size that don't link to their head the work still grows with the square of their number.
 6. Links make components (no link between different sets is lost); members take the least id.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing, not even with each
@@ -23,12 +26,15 @@ Repeated ids are rows of their own under one name. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +43,13 @@ from .components import connected
 
 COUNTERS = 1 << 20
 CHUNK = 1 << 16
+PARTS = 256
+EIGHTHS = 8
 LEVELS = 3
 VERIFY_COST = 8.0
-LIST = 1024
+LIST = 64
 BLOCK = 256
-GROUP = 1024
+PAIRS = 2000
 STEPS = 100_000
 KEPT_WORDS = 1_000_000
 FILTER_BITS = 22
@@ -66,17 +74,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct hashes, ascending, of the shingles of a text; A-Z count as a-z, words end at ASCII white space."""
+def hashed(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a text's words and of its shingles in order, and how many words a shingle has; A-Z count as a-z."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(size, len(h))
+    if not k:
+        return h, h, 0
     out = np.full(len(h) - k + 1, np.uint64(k))
     for i in range(k):
         out = mixed(out * MIX[0] + h[i : len(h) - k + 1 + i] * MIX[1])
-    return np.unique(out)
+    return h, out, k
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes, ascending, of the shingles of a text; words end at ASCII white space."""
+    return np.unique(hashed(text, size)[1])
 
 
 def signature(s: np.ndarray) -> bytes | None:
@@ -92,49 +105,73 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def sketched(docs: DataFrame, size: int) -> np.ndarray:
-    """The level of each counter: 0 for ordinary load, then one more for each doubling."""
+@dataclass
+class Order:
+    """How often words and shingles are, in 2**20 counters each: rare ones come first, ties by hash."""
 
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+    words: np.ndarray  # logarithm of a counter, EIGHTHS a doubling
+    shingles: np.ndarray  # 0 for the load of rare ones, then one more for each doubling
+
+    def first(self, text: str | None, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """A text's distinct shingles, ascending, and its longest prefix in order."""
+        h, out, k = hashed(text, size)
+        s, at = np.unique(out, return_index=True)
+        if not k:
+            return s, s
+        share = self.words[slot(h)].astype(np.int64)
+        score = sum(share[i : len(h) - k + 1 + i] for i in range(k))[at]
+        n = len(s)
+        most = min(n, n - need(n, percent) + LEVELS)
+        rank = self.shingles[slot(s)].astype(np.int64) << 32 | score
+        return s, s[np.lexsort((s, rank))[:most]]
+
+
+def sketched(docs: DataFrame, size: int) -> Order:
+    """Counts of all words and shingles; counters travel packed, and are added up in two steps of at most ``PARTS`` groups."""
+    chunks = 2 * COUNTERS // CHUNK
+
+    def packed(counts: np.ndarray) -> bytes:
+        return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+    def count(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, COUNTERS), np.int64)
         for batch in them:
-            met = [slot(shingles(t, size)) for t in batch.column(0).to_pylist()]
-            counts += np.bincount(np.concatenate([*met, np.empty(0, np.int64)]), minlength=COUNTERS)
-        for lo in range(0, COUNTERS, CHUNK):
-            at = np.flatnonzero(counts[lo : lo + CHUNK]) + lo
-            ends = pa.array([0, len(at)], pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts[at], pa.int64())))
-            yield pa.RecordBatch.from_arrays(list(lists), names=["slots", "counts"])
-
-    parts = docs.select("text").mapInArrow(run, "slots array<int>, counts array<long>")
-    each = parts.select(F.inline(F.arrays_zip("slots", "counts")).alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n"))
-    each = settle(each)
-    total = each.agg(F.sum("n").alias("n")).first()["n"] or 0
-    usual = 2 * total / COUNTERS + 8
-    levels = np.zeros(COUNTERS, np.uint8)
-    for r in each.where(F.col("n") >= usual * 2).toLocalIterator():  # a row for each counter at most
-        levels[r["slot"]] = int(np.log2(r["n"] / usual))
-    return levels
-
-
-def prefix_rows(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
+            met = [(np.empty(0, np.uint64),) * 2, *(hashed(t, size)[:2] for t in batch.column(0).to_pylist())]
+            for k in (0, 1):
+                counts[k] += np.bincount(slot(np.concatenate([x[k] for x in met])), minlength=COUNTERS)
+        part = TaskContext.get().partitionId() % PARTS
+        data = [packed(c) for c in counts.reshape(chunks, CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([part] * chunks, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "part", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for c in group.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), "<i8")
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
+
+    kind = "chunk int, part int, counts binary"
+    each = docs.select("text").mapInArrow(count, kind)
+    rows = each.groupBy("chunk", "part").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind).collect()  # one row a chunk
+    counts = np.zeros((chunks, CHUNK))
+    for r in rows:
+        counts[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    words, load = counts.reshape(2, COUNTERS)
+    usual = np.median(load)
+    noise = 4 * np.sqrt(usual) + 4  # what rare shingles that share a counter may add to it by chance
+    levels = (np.log2(np.maximum((load - usual) / noise, 0.5)) + 1).astype(np.uint8)
+    return Order((EIGHTHS * np.log2(words + 1)).astype(np.uint16), levels)
+
+
+def prefix_rows(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
     """Per document: id, signature of its set, the set's size, and its longest prefix in order."""
     kind = docs.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # of fixed size
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            sigs, sizes, prefixes = [], [], []
-            for t in batch.column("text").to_pylist():
-                s = shingles(t, size)
-                n = len(s)
-                sigs.append(signature(s))
-                sizes.append(n)
-                k = min(n, n - need(n, percent) + LEVELS)
-                level = shared.value[slot(s)]
-                first = np.lexsort((s, level))[:k] if level.any() else slice(0, k)
-                prefixes.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "md5", "n", "prefix"])
+            got = [shared.value.first(t, size, percent) for t in batch.column("text").to_pylist()]
+            prefixes = pa.array([p.view(np.int64) for _, p in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([signature(s) for s, _ in got], pa.binary()), pa.array([len(s) for s, _ in got], pa.int64()), prefixes], names=["id", "md5", "n", "prefix"])
 
     return docs.mapInArrow(run, f"id {kind}, md5 binary, n long, prefix array<long>")
 
@@ -164,14 +201,26 @@ def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
     return both.where("shared >= least").select("a", "b")
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` places occur; executors pack them, the driver gets one row for each ``CHUNK``."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        has = np.zeros(CHUNK, bool)
+        has[group.column("p").to_numpy() % CHUNK] = True
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "has": pa.array([np.packbits(has).tobytes()], pa.binary())})
+
+    rows = places.distinct().withColumn("chunk", (F.col("p") / CHUNK).cast("int")).groupBy("chunk").applyInArrow(pack, "chunk int, has binary")
+    out = np.zeros((bits // CHUNK, CHUNK // 8), np.uint8)
+    for r in rows.collect():
+        out[r["chunk"]] = np.frombuffer(r["has"], np.uint8)
+    return out.ravel()
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(sig, tokens) of the wanted nodes (sig, md5), from the texts once more; a bitmap of fixed size keeps most others out."""
     bits = 1 << FILTER_BITS
     place = F.pmod(F.conv(F.substring(F.hex("md5"), 1, 8), 16, 10).cast("long"), F.lit(bits))
-    bitmap = np.zeros(bits, bool)
-    for r in wanted.select(place.alias("p")).distinct().toLocalIterator():  # at most one row for each bit
-        bitmap[r["p"]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("p")), bits))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
@@ -189,49 +238,71 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return settle(found.groupBy("md5").agg(F.first("tokens").alias("tokens")).join(wanted, "md5").select("sig", "tokens"))
 
 
+class Forest:
+    """Union and find; ``add`` tells whether a link joins two trees."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, s: int) -> int:
+        root = self.root
+        while root.setdefault(s, s) != s:
+            root[s] = s = root.setdefault(root[s], root[s])
+        return s
+
+    def add(self, a: int, b: int) -> bool:
+        x, y = self.find(a), self.find(b)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs' links. Pairs with a common least neighbour are dealt to the same task, where each set is sent once.
+    """A spanning forest of the pairs' links in each bin.
 
-    Of more than ``GROUP`` such nodes parts are made, and pairs are dealt by the pair of their parts. How pairs are dealt
-    decides what is sent, not what is found.
+    Pairs with a common least neighbour are dealt to the same bin, where each set is sent once; the more pairs such a
+    neighbour has, the more bins its pairs are cut into, by parts of both ends.
     """
     ends = pairs.select(F.col("a").alias("node"), "b").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("b")))
-    labels = settle(ends.groupBy("node").agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
-    parts = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k"))
+    labels = settle(ends.groupBy("node").agg(F.min("b").alias("label"), F.count(F.lit(1)).alias("pairs")).select("node", F.least("node", "label").alias("label"), "pairs"))
+    parts = labels.groupBy("label").agg(F.ceil(F.sqrt(F.sum("pairs") / PAIRS)).cast("int").alias("k"))
     part = labels.join(parts, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("part"))
-    bins = max(1, labels.count() // 500)
-    at = lambda c: part.select(F.col("node").alias(c), "label", F.col("part").alias(f"part_{c}"))
-    both = pairs.join(at("a"), "a").join(at("b").withColumnRenamed("label", "label_b"), "b")
-    label = F.least("label", "label_b")
+    total = labels.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("ends")).first()
+    bins = max(1, total["nodes"] // 500, total["ends"] // (2 * PAIRS))
+    at = lambda c: part.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("part").alias(f"part_{c}"))
+    both = pairs.join(at("a"), "a").join(at("b"), "b")
+    label = F.least("label_a", "label_b")
     dealt = settle(both.select("a", "b", F.pmod(F.xxhash64(label, "part_a", "part_b"), F.lit(bins)).cast("int").alias("bin")))
     used = dealt.select(F.col("bin").alias("at"), F.col("a").alias("sig")).union(dealt.select(F.col("bin").alias("at"), "b")).distinct().join(sets, "sig")
 
     def compare(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         tokens = dict(zip(known["sig"], known["tokens"]))
-        hit = []
+        forest, out = Forest(), []
         for a, b in zip(asked["a"], asked["b"]):
+            if forest.find(a) == forest.find(b):
+                continue
             x, y = tokens[a], tokens[b]
             n = len(np.intersect1d(x, y, assume_unique=True))
-            hit.append(n * 100 >= (len(x) + len(y) - n) * percent)
-        return asked.loc[np.array(hit, bool), ["a", "b"]]
+            if n * 100 >= (len(x) + len(y) - n) * percent and forest.add(a, b):
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("bin").cogroup(used.groupBy("at")).applyInPandas(compare, "a long, b long")
 
 
-def cluster_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among nodes of long posting lists, by pivot, rings and blocks."""
+def group_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among nodes of long posting lists (token, sig, count): each list goes to its head, the node that meets most others.
+
+    All nodes of a head's lists are one group, whose distances from the head are known.
+    """
     if long.isEmpty():
         return long.sparkSession.createDataFrame([], "a long, b long")
-    stars = long.groupBy("token").agg(F.min("sig").alias("b"))
-    edges = long.join(stars, "token").select(F.col("sig").alias("a"), "b").distinct()
-    clusters = connected(edges).select(F.col("node").alias("sig"), F.col("label").alias("cluster"))
-    weight = long.groupBy("sig").agg(F.sum("count").alias("w"))
-    members = settle(clusters.join(weight, "sig"))
-    pivots = members.groupBy("cluster").agg(F.max_by("sig", F.struct("w", "sig")).alias("pivot"))
-    pivots = pivots.join(sets.select(F.col("sig").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
+    weighed = long.join(long.groupBy("sig").agg(F.sum("count").alias("w")), "sig")
+    heads = weighed.groupBy("token").agg(F.max_by("sig", F.struct("w", "sig")).alias("pivot"))
+    members = settle(long.join(heads, "token").select("pivot", "sig").distinct())
+    pivots = members.select("pivot").distinct().join(sets.select(F.col("sig").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
     both = F.size(F.array_intersect("tokens", "tp"))
     union = F.size("tokens") + F.size("tp") - both
-    near = members.join(sets, "sig").join(pivots, "cluster").select("cluster", "sig", "pivot", F.size("tokens").alias("n"), both.alias("both"), union.alias("union"))
+    near = members.join(sets, "sig").join(pivots, "pivot").select(F.col("pivot").alias("cluster"), "sig", "pivot", F.size("tokens").alias("n"), both.alias("both"), union.alias("union"))
     linked = F.col("both") * 100 >= F.col("union") * percent
     width = 100 - percent
     # Linked nodes have ring 0, but those at the very threshold ring 1, so that they also meet ring 2.
@@ -290,21 +361,8 @@ def links(a: list[int], ta: list[np.ndarray], b: list[int], tb: list[np.ndarray]
         both += m[: len(ta)] @ m[len(ta) :].T
     both = both.astype(np.int64)
     hit = both * 100 >= (na[:, None] + nb[None] - both) * percent
-    root = {s: s for s in [*a, *b]}
-
-    def find(s: int) -> int:
-        while root[s] != s:
-            root[s] = root[root[s]]
-            s = root[s]
-        return s
-
-    out = []
-    for i, j in zip(*np.nonzero(hit)):
-        x, y = find(a[i]), find(b[j])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a[i], b[j]))
-    return out
+    forest = Forest()
+    return [(a[i], b[j]) for i, j in zip(*np.nonzero(hit)) if forest.add(a[i], b[j])]
 
 
 def near_copies(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,7 +378,7 @@ def near_copies(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     pairs = settle(candidate_pairs(short, percent))
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(long.select("sig")).distinct()
     sets = whole_sets(rows, settle(wanted.join(nodes.select("sig", "md5"), "sig")), size)
-    edges = settle(verified(pairs, sets, percent).unionByName(cluster_links(long, sets, percent)))
+    edges = settle(verified(pairs, sets, percent).unionByName(group_links(long, sets, percent)))
     labels = connected(edges)
     named = nodes.select("sig", "md5", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
