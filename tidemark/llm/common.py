@@ -1,29 +1,36 @@
 """Small helpers that the operators of this subpackage share.
 
 * ``table`` reads one parquet table of a data folder through Spark's readers only.
-* ``batches`` sets how many rows an Arrow batch may hold, so that very long texts don't pile up in a Python worker.
+* ``batches`` sets how many rows and bytes an Arrow batch may hold, so that very long texts don't pile up in a Python worker.
 * ``training_sample`` picks a bounded, deterministic sample of labelled rows for a classifier.
+* ``with_score`` adds a column that a scorer computes from texts.
 * ``settle`` cuts lineage with ``checkpoint()`` in the folder that the session names.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 FOLDS = 5
-ROWS_PER_BATCH = 256
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
+#: Characters of one class that a classifier learns from at most.
+SAMPLE_CHARS = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """An Arrow batch holds at most so many rows; 256 texts of 100,000 characters are about 25 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches(spark: SparkSession) -> None:
+    """An Arrow batch ends with so many rows or bytes, whichever comes first; the same for all operators, as plans run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -32,42 +39,55 @@ def held_out(doc_id: Column) -> Column:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; lost executors don't lose it."""
+    """``df`` written to the shared checkpoint folder; lost executors don't lose it.
+
+    The folder is the session's ``spark.checkpoint.dir``; without one, only a local session gets a folder of its own.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or own_folder())
     return df.checkpoint(eager=True)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class, never from the held-out fold.
+def own_folder() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """At most ``per_class`` labelled texts of each class, never from the held-out fold, whole.
 
-    The rows are those whose hashed id is smallest, so the choice doesn't depend on partitions or order.
-    Of a text longer than ``most_chars`` the learner sees that many characters from a hashed place in it;
-    scoring always reads whole texts. Rows without id, text or label aren't learnt from; of repeated ids
-    one row counts. The driver holds at most ``2 * per_class * most_chars`` characters.
+    The rows are those whose hashed id is smallest, so the choice doesn't depend on partitions or order. Of a class the
+    first so many are taken that ``sample_chars`` characters hold; a row that doesn't fit any more is left out. Rows
+    without id, text or label aren't learnt from; of repeated ids one row counts; ids may be of any type. The driver
+    holds at most ``2 * sample_chars`` characters.
     """
-    spark = docs.sparkSession
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(
-        F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))
-    )
-    ids: dict[int, int] = {}
-    for y in (0, 1):
-        for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
-            ids.setdefault(r["doc_id"], y)
-    if not ids:
-        return []
-    chosen = spark.createDataFrame(sorted(ids.items()), "doc_id long, y int")
-    span = F.greatest(F.length("text") - F.lit(most_chars), F.lit(0))
-    at = F.pmod(F.xxhash64("doc_id"), span + 1).cast("int") + 1
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "y", F.substring(F.col("text"), at, F.lit(most_chars)).alias("text"))
-        .groupBy("doc_id")
-        .agg(F.min("y").alias("y"), F.min("text").alias("text"))
-        .collect()
-    )
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    known = labels.select(F.col("doc_id").cast("string").alias("_key"), F.col(label).cast("int").alias("y"))
+    known = known.where(F.col("_key").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_key"))).groupBy("_key").agg(F.min("y").alias("y"))
+    chosen = known.where("y = 0").orderBy(F.xxhash64("_key"), "_key").limit(per_class).unionByName(known.where("y = 1").orderBy(F.xxhash64("_key"), "_key").limit(per_class))
+    texts = docs.select(F.col("doc_id").cast("string").alias("_key"), "text").where(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # at most 2 * per_class rows
+    upto = F.sum(F.length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("_key"), "_key"))
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= sample_chars).orderBy(F.xxhash64("_key"), "_key").collect()
+    return [(r["text"], r["y"]) for r in rows]
+
+
+def with_score(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str, score_col: str) -> DataFrame:
+    """``docs`` plus the score of each text; each task calls ``scorer`` once. A column that already has the name is replaced."""
+    batches(docs.sparkSession)
+    docs = docs.drop(score_col)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in them:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(texts), pa.float64())], names=[*names, score_col])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))

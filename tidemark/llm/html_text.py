@@ -4,14 +4,18 @@ A page becomes a sequence of leaf blocks: text between tags that start or end a
 A numpy bidirectional LSTM reads, for each block, a vector of its hashed tag path (names, classes and ids of the open
 elements) and of its hashed words with a few measures, and labels every block with the whole page before and behind it
 in view. Every mark of the path and every word counts, however deep or long; the vectors' lengths alone bound them.
-Blocks labelled as article are joined.
+Blocks labelled as article are joined. Scanning takes time in proportion to the page: the open path is kept as a count
+of each place of its vector, and no part of a page is searched twice for an end that isn't there. Long pages are turned
+into vectors ``STEPS`` blocks at a time, and pages are labelled side by side while ``TOGETHER`` blocks hold them.
 
 There are no labelled pages, so the network learns from pages that a rule makes up: menus, headers, adverts, notices,
 forms, side columns, reader comments and footers in varied markup, flat or in deep wrappers of many classes, around
 articles whose blocks are known.
 
 Defined results: null or empty pages, and pages without an article, give an empty text. Comments, scripts, styles and
-other raw elements never give text; what is open at the end counts as closed there. Character references are decoded,
+other raw elements never give text; what is open at the end counts as closed there. A quote in a tag without another one
+behind it is an ordinary character; from the first tag on whose quotes leave it without an end, tags end at the next >;
+without one, < is text. Character references are decoded,
 white space within a block becomes one space, blocks are joined by one space. Nothing else is dropped or cut. Repeated
 rows give equal results; extra columns are ignored.
 """
@@ -39,7 +43,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An element of the first kind ends when one of the second kind starts.
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table body".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+STOP = re.compile(r"[>\"']")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PATH_DIMS, WORD_DIMS, MEASURES = 1024, 24, 4
@@ -47,45 +51,138 @@ INPUT = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 EPOCHS = 14
 PAGES = 1000
-TOGETHER = 64
+#: Blocks of one page that are turned into vectors at once, and blocks with their padding that are labelled at once.
+STEPS = 4096
+TOGETHER = 1 << 15
 
 
 @dataclass(frozen=True)
 class Block:
-    path: tuple[str, ...]
+    path: int  # places of the open path's vector, as bits
+    marks: int  # how many marks the open path has
     text: str
     linked: float
 
 
+class Scanner:
+    """Finds where tags end; what isn't found once from some place isn't looked for again behind it."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.gone: set[str] = set()
+        self.plain = False
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        got = self.page.find(what, at)
+        if got < 0:
+            self.gone.add(what)
+        return got
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > that ends the tag whose name starts at ``at``, or -1."""
+        start = at
+        while not self.plain:
+            m = STOP.search(self.page, at)
+            if m is None:
+                self.plain = True
+                break
+            at = m.end()
+            if m.group() == ">":
+                return at
+            close = self.find(m.group(), at)
+            at = close + 1 if close >= 0 else at
+        return self.find(">", start) + 1 or -1
+
+
+class Path:
+    """The open elements, with a count of each place that their marks have."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: list[tuple[int, list[int]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.counts = [0] * PATH_DIMS
+        self.bits = self.marks = 0
+
+    def open(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+    def last(self, name: str) -> int:
+        return self.at[name][-1] if self.at.get(name) else -1
+
+    def push(self, name: str, marks: list[str]) -> None:
+        places = [place(x, PATH_DIMS) for x in marks] + [place("." + x.split(".", 1)[1], PATH_DIMS) for x in marks if "." in x]
+        for k in places:
+            self.counts[k] += 1
+            if self.counts[k] == 1:
+                self.bits |= 1 << k
+        self.marks += len(marks)
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.places.append((len(marks), places))
+
+    def cut(self, depth: int) -> None:
+        while len(self.names) > depth:
+            self.at[self.names.pop()].pop()
+            marks, places = self.places.pop()
+            self.marks -= marks
+            for k in places:
+                self.counts[k] -= 1
+                if not self.counts[k]:
+                    self.bits &= ~(1 << k)
+
+    def starts(self, name: str) -> None:
+        """End the innermost element that cannot hold a new block of this name, unless a list or table stands between."""
+        ends = max(self.last(x) for x, by in ENDS.items() if by is None or name in by)
+        if ends > max(map(self.last, LISTS)):
+            self.cut(ends)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path, scan = Path(), Scanner(page)
     text: list[str] = []
     linked = at = 0
+    size = len(page)
 
     def flush() -> None:
         nonlocal linked
         words = " ".join("".join(text).split())
         if words:
-            out.append(Block(tuple(x for _, marks in stack for x in marks), words, min(1.0, linked / len(words))))
+            out.append(Block(path.bits, path.marks, words, min(1.0, linked / len(words))))
         text.clear()
         linked = 0
 
-    size = len(page)
+    def say(piece: str) -> None:
+        nonlocal linked
+        text.append(entities.unescape(piece))
+        if path.open("a"):
+            linked += len(text[-1].strip())
+
     while at < size:
-        m = TOKEN.match(page, at)
-        got = m.group()
-        at = m.end()
-        if got[0] != "<" or got == "<":
-            piece = entities.unescape(got)
-            text.append(piece)
-            if any(n == "a" for n, _ in stack):
-                linked += len(piece.strip())
+        tag = scan.find("<", at)
+        if tag != at:
+            say(page[at : tag if tag >= 0 else size])
+            at = tag if tag >= 0 else size
+            continue
+        if page.startswith("<!--", at):
+            end = scan.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            at = scan.find(">", at) + 1 or size
             continue
-        named = NAME.match(got)
-        if not named:
+        named = NAME.match(page, at)
+        end = scan.tag_end(named.end()) if named else -1
+        if end < 0:
+            say("<")
+            at += 1
             continue
+        got = page[at:end]
+        at = end
         name = named.group(1).lower()
         inline = name in INLINE or name in RAW
         if not inline:
@@ -94,28 +191,21 @@ def blocks(page: str) -> list[Block]:
                 continue
             flush()
         if got[1] == "/":
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if path.open(name):
+                path.cut(path.last(name))
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else size
+            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else size
             continue
         if name in VOID or got.endswith("/>") and inline:
             continue
         if not inline:
-            for k in range(len(stack) - 1, -1, -1):
-                open_name = stack[k][0]
-                if open_name in ENDS and (ENDS[open_name] is None or name in ENDS[open_name]):
-                    del stack[k:]
-                    break
-                if open_name in LISTS:
-                    break
+            path.starts(name)
         marks = [name]
         for a, b, c in MARKED.findall(got):
             marks += [f"{name}.{w.lower()}" for w in re.split(r"[\s_-]+", a or b or c) if w]
-        stack.append((name, tuple(marks)))
+        path.push(name, marks)
     flush()
     return out
 
@@ -125,18 +215,17 @@ def place(word: str, dims: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % dims
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), INPUT), np.float32)
-    for k, b in enumerate(page):
+def vectors(page: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Of the blocks lo to hi of a page."""
+    some = page[lo:hi]
+    x = np.zeros((len(some), INPUT), np.float32)
+    for k, b in enumerate(some):
         row = x[k]
-        for mark in b.path:
-            row[place(mark, PATH_DIMS)] = 1
-            if "." in mark:
-                row[place("." + mark.split(".", 1)[1], PATH_DIMS)] = 1
+        row[:PATH_DIMS] = np.unpackbits(np.frombuffer(b.path.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little")
         words = b.text.split(" ")
         for w in words:
             row[PATH_DIMS + place(w, WORD_DIMS)] += 1 / len(words)
-        row[-4:] = (np.log1p(len(b.text)) / 6, b.linked, k / len(page), float(b.text[-1:] in ".!?"))
+        row[-4:] = (np.log1p(len(b.text)) / 6, b.linked, (lo + k) / len(page), float(b.text[-1:] in ".!?"))
     return x
 
 
@@ -186,17 +275,21 @@ class Labeller:
             keep.append(both)
         return 1 / (1 + np.exp(-np.clip(both @ self.out + self.bias, -30, 30)))
 
-    def label(self, pages: Iterable[np.ndarray]) -> list[np.ndarray]:
+    def label(self, pages: Iterable[list[Block]]) -> list[np.ndarray]:
         """Probabilities of each page's blocks; pages of like length are read side by side."""
-        pages = [self.into(p) for p in pages]
-        got: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for lo in range(0, len(order), TOGETHER):
-            some = order[lo : lo + TOGETHER]
-            x, mask = padded([pages[k] for k in some])
+        inner = [np.concatenate([self.into(vectors(p, lo, lo + STEPS)) for lo in range(0, len(p) or 1, STEPS)]) for p in pages]
+        got: list[np.ndarray] = [np.zeros(0)] * len(inner)
+        order = sorted((k for k in range(len(inner)) if len(inner[k])), key=lambda k: len(inner[k]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and len(inner[order[hi]]) * (hi + 1 - lo) <= TOGETHER:
+                hi += 1
+            x, mask = padded([inner[k] for k in order[lo:hi]])
             p = self.forward(x, mask)
-            for j, k in enumerate(some):
-                got[k] = p[: len(pages[k]), j]
+            for j, k in enumerate(order[lo:hi]):
+                got[k] = p[: len(inner[k]), j]
+            lo = hi
         return got
 
 
@@ -366,9 +459,19 @@ def learn(count: int = PAGES) -> Labeller:
 
 
 def main_texts(pages: list[str | None], net: Labeller) -> list[str]:
-    cut = [blocks(p or "") for p in pages]
-    marks = net.label(vectors(b) for b in cut)
-    return [" ".join(b.text for b, p in zip(page, ps) if p >= 0.5) for page, ps in zip(cut, marks)]
+    out: list[str] = []
+    held: list[list[Block]] = []
+
+    def read() -> None:
+        out.extend(" ".join(b.text for b, p in zip(page, ps) if p >= 0.5) for page, ps in zip(held, net.label(held)))
+        held.clear()
+
+    for page in pages:
+        held.append(blocks(page or ""))
+        if sum(map(len, held)) >= TOGETHER // 2:
+            read()
+    read()
+    return out
 
 
 def extract(pages: DataFrame, net: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -178,7 +178,7 @@ def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
 
 def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
-    batches(table.sparkSession, 1000)
+    batches(table.sparkSession)
     rows = settle(table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("row", F.monotonically_increasing_id()))
     double = "double" in rows.schema["vector"].dataType.simpleString()
     meetings = dealt(placed(rows.select("row", "vector"), cosine))

@@ -50,6 +50,7 @@ VERIFY_COST = 8.0
 LIST = 64
 BLOCK = 256
 PAIRS = 2000
+GROUP = 500
 STEPS = 100_000
 KEPT_WORDS = 1_000_000
 FILTER_BITS = 22
@@ -302,7 +303,11 @@ def group_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivots = members.select("pivot").distinct().join(sets.select(F.col("sig").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
     both = F.size(F.array_intersect("tokens", "tp"))
     union = F.size("tokens") + F.size("tp") - both
-    near = members.join(sets, "sig").join(pivots, "pivot").select(F.col("pivot").alias("cluster"), "sig", "pivot", F.size("tokens").alias("n"), both.alias("both"), union.alias("union"))
+    parts = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    members = members.join(parts, "pivot").withColumn("part", part).drop("parts")  # a head's set is sent once for each part of its group
+    pivots = pivots.join(parts, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    near = members.join(sets, "sig").join(pivots, ["pivot", "part"]).select(F.col("pivot").alias("cluster"), "sig", "pivot", F.size("tokens").alias("n"), both.alias("both"), union.alias("union"))
     linked = F.col("both") * 100 >= F.col("union") * percent
     width = 100 - percent
     # Linked nodes have ring 0, but those at the very threshold ring 1, so that they also meet ring 2.

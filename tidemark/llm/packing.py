@@ -9,9 +9,10 @@ histogram whatever the size of the corpus:
 3. Actual lengths replace the rounded ones, which leaves gaps.
 4. Small pieces go best-fit into the gaps and, when none is left, into sequences of their own.
 
-The plan is a bounded list of runs: ranks ``lo .. lo + n - 1`` of a length go to sequences ``seq + k // per`` at
-``offset + (k % per) * length``. Rows get their rank within a length by salted counting, so that one length that a third
-of all rows share is dealt over many tasks.
+The plan is a list of runs: ranks ``lo .. lo + n - 1`` of a length go to sequences ``seq + k // per`` at
+``offset + (k % per) * length``. Rows get their rank within a length by counting parts of at most about ``PART`` rows, so
+that one length that a third of all rows share is dealt over many tasks, however many rows there are. Parts and plan are
+broadcast up to ``MOST_BROADCAST`` rows and joined beyond.
 
 Defined results: a null text counts as empty and is the single end token. Only documents longer than the capacity are
 cut; their first piece is the shorter one. Repeated rows are packed once each. An empty table gives no rows. Extra
@@ -39,7 +40,10 @@ END_ID = 0
 LARGE = 1 / 8
 GROUPS = 200
 ROUNDS = 500
-SALTS = 64
+#: Rows of one length that are ranked in one task, about.
+PART = 100_000
+#: Rows of a plan or of parts, some 50 bytes each, that may be broadcast.
+MOST_BROADCAST = 200_000
 KEPT_WORDS = 1_200_000
 #: A space beside white space on both sides, or at an end: where cutting at spaces isn't where the pattern cuts.
 SPACE = re.compile(r"\s")
@@ -158,16 +162,16 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / (capacity // sizes))
     for k in range(rounds):
         if k % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        use = inverse @ need
+            inverse = inverted(basis)
+        use = product(inverse, need)
         price = inverse.sum(axis=0)
         column, worth = knapsack(sizes, price, capacity)
         if worth <= 1 + 1e-7:
             break
-        turn = inverse @ column
+        turn = product(inverse, column)
         up = turn > 1e-9
         if not up.any():
             break
@@ -175,12 +179,31 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
         out = int(np.argmin(ratio))
         basis[:, out] = column
         pivot = inverse[out] / turn[out]
-        inverse = inverse - np.outer(turn, pivot)
+        inverse = inverse - turn[:, None] * pivot
         inverse[out] = pivot
-    use = np.linalg.solve(basis, need)
+    use = product(inverted(basis), need)
     return [(basis[:, j].astype(int), float(use[j])) for j in range(m) if use[j] > 0]
 
 
+def product(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Element by element: threads of a linear algebra library starve beside Spark's on the driver."""
+    return (matrix * vector).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss and Jordan with row pivots, also element by element."""
+    m = len(matrix)
+    both = np.concatenate([matrix, np.eye(m)], 1)
+    for k in range(m):
+        top = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        rest = both[:, k].copy()
+        rest[k] = 0
+        both -= rest[:, None] * both[k]
+    return both[:, m:]
+
+
 def knapsack(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """The multiset of sizes within the capacity whose prices sum highest, by dynamic programming over capacities."""
     best = np.zeros(capacity + 1)
@@ -307,24 +330,28 @@ def placements(runs: list[Run]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, salts: int = SALTS, order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, part: int = PART, order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
     """``pieces`` (with a column length, 1 to capacity) plus sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    cells = sorted(map(tuple, salted.groupBy("length", "_salt").count().collect()))  # capacity * salts rows at most
-    totals: dict[int, int] = {}
-    starts = []
-    for length, salt, n in cells:
-        starts.append((length, salt, totals.get(length, 0)))
-        totals[length] = totals.get(length, 0) + n
+    totals = dict(map(tuple, pieces.groupBy("length").count().collect()))  # capacity rows at most
     plan = placements(plan_runs(totals, capacity, groups))
-    before = spark.createDataFrame(starts, "length long, _salt int, _before long")
+    cut = {length: -(-n // part) for length, n in totals.items() if n > part}
+    hot = spark.createDataFrame(sorted(cut.items()), "length long, _parts long")  # capacity rows at most
+    count = F.coalesce("_parts", F.lit(1))
+    dealt = pieces.join(F.broadcast(hot), "length", "left").withColumn("_salt", F.pmod(F.xxhash64(*order), count)).drop("_parts")
+    cells = settle(dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")))
+    upto = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select("length", "_salt", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    if cells.count() <= MOST_BROADCAST:
+        before = F.broadcast(before)
     where = spark.createDataFrame(plan, "length long, _lo long, _n long, _per long, _seq long, _offset long")
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    if len(plan) <= MOST_BROADCAST:
+        where = F.broadcast(where)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
+    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     hit = (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_n"))
     k = F.col("_rank") - F.col("_lo")
-    joined = ranked.alias("r").join(F.broadcast(where).alias("w"), (F.col("r.length") == F.col("w.length")) & hit)
+    joined = ranked.alias("r").join(where.alias("w"), (F.col("r.length") == F.col("w.length")) & hit)
     return joined.select(
         *(F.col(f"r.{c}") for c in pieces.columns),
         (F.col("_seq") + F.floor(k / F.col("_per"))).cast("long").alias("sequence_id"),

@@ -5,28 +5,26 @@ document; the strongest response of each filter and of its opposite is kept (two
 variety stand out); a small layer combines them into one probability. Training follows the gradient through the chunk
 that won each pool.
 
-Learning takes at most ``PER_CLASS`` rows a class and ``MOST_CHARS`` characters of each (documented bounds); scoring
-reads whole texts of all rows, in a memory that a batch's texts bound.
+Learning takes at most ``PER_CLASS`` rows a class, and of these as many as ``SAMPLE_CHARS`` characters hold (documented
+bounds on rows; a row that is learnt from is read whole); scoring reads whole texts of all rows, in a memory that a
+batch's texts bound.
 
 Defined results: a null or empty text is scored as one chunk of padding; without labels of both classes every score is
-the share of good labels (1 without labels). Repeated rows score alike; extra columns are ignored.
+the share of good labels (1 without labels). Repeated rows score alike; extra columns are kept, and one of
+the score column's name gives way to the score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches, held_out, training_sample
+from .common import SAMPLE_CHARS, held_out, training_sample, with_score
 
 PER_CLASS = 900
-MOST_CHARS = 12_000
 THRESHOLD = 0.3
 STRIDE = 8
 CHUNK = 2 * STRIDE
@@ -168,20 +166,12 @@ def train(sample: list[tuple[str, int]], good_share: float, epochs: int = EPOCHS
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Model:
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
-    return train(training_sample(docs, labels, label, per_class, most_chars), 1.0 if share is None else share)
+    return train(training_sample(docs, labels, label, per_class, sample_chars), 1.0 if share is None else share)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` plus a score from 0 to 1."""
-    batches(docs.sparkSession)
-    names = docs.columns
-
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in them:
-            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts), pa.float64())], names=[*names, score_col])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return with_score(docs, lambda: model.score, text_col, score_col)

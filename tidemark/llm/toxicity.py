@@ -1,45 +1,47 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share one ordinary part, trained on ordinary text. The toxic dictionary ends with spans that
-toxic text has far more often than ordinary text (runs of five-letter sequences), the ordinary dictionary with as many
-bytes that no text has, so that both are searched alike. A document is cut into overlapping windows of words that cover
-all of it, each window is compressed with either dictionary, and the difference of the two lengths is how much nearer
-the window is to toxic text. A logistic function of the differences' maxima, mean and counts above thresholds is
-calibrated on labelled documents that the dictionaries weren't trained on, weighted to the labels' true shares.
-
-Learning takes at most ``PER_CLASS`` rows a class and ``MOST_CHARS`` characters of each (documented bounds); scoring
-reads whole texts of all rows.
+Two zstandard dictionaries are compared. Both begin with a part that is trained on ordinary text; the second part of each
+is trained on the text of its own class, reduced to what sets that class apart (runs of five-letter sequences that its
+documents have far more often than those of the other class), and the shorter of the two is filled with bytes that no
+text has, so that both are searched alike. A document is cut into windows of two lengths, each covering all of it: single
+words, set in a run of spaces so that a block is always worth compressing, and overlapping windows of ten words. Each is
+compressed with either dictionary, and the difference of the two lengths is how much nearer it is to toxic text. A
+logistic function of the differences' maxima, means and counts above thresholds is calibrated on labelled documents that
+the dictionaries weren't trained on, weighted to the labels' true shares.
+
+Learning takes at most ``PER_CLASS`` rows a class, and of these as many as ``SAMPLE_CHARS`` characters hold (documented
+bounds on rows; a row that is learnt from is read whole); scoring reads whole texts of all rows.
 
 Defined results: a null or empty text has no window and scores as a text without any difference; without labels of
 both classes every score is the share of toxic labels (0 without labels). Repeated rows score alike; extra columns are
-ignored.
+kept, and one of the score column's name gives way to the score.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches, held_out, training_sample
+from .common import SAMPLE_CHARS, batches, held_out, training_sample, with_score
 
 PER_CLASS = 1500
-MOST_CHARS = 12_000
 THRESHOLD = 0.5
 WORDS, STEP = 10, 8
 LONGEST_WORD = 64
 GRAM = 5
 #: A sequence is toxic if this share of toxic documents has it, and so many times the share that ordinary ones have.
 SHARE, TIMES, LEAST = 0.02, 20, 2
-ORDINARY_BYTES, TOXIC_BYTES = 57_344, 4096
+ORDINARY_BYTES, OWN_BYTES = 57_344, 4096
 EDGES = (1, 2, 3, 4, 5, 6, 8)
 MARKS = ".,;:!?()[]|\"'*#%&$"
+#: What a word is set in.
+FRAME = b" " * 24
+KEPT_WORDS = 400_000
 
 
 def lowered_words(text: str) -> list[bytes]:
@@ -81,58 +83,79 @@ def spans(word: str, keys: set[str]) -> list[str]:
     return out
 
 
+class Pair:
+    """Both compressors, and the words compared so far; the store starts anew when full."""
+
+    def __init__(self, ordinary, toxic) -> None:
+        self.ordinary, self.toxic = ordinary, toxic
+        self.known: dict[bytes, int] = {}
+
+    def compared(self, pieces: list[bytes]) -> np.ndarray:
+        if not pieces:
+            return np.zeros(0, np.int64)
+        a, b = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(pieces, threads=1)), np.int64, len(pieces)) for c in (self.ordinary, self.toxic))
+        return a - b
+
+    def words(self, text: str) -> np.ndarray:
+        own = set(lowered_words(text))
+        fresh = [w for w in own if w not in self.known]
+        if len(self.known) + len(fresh) > KEPT_WORDS:
+            self.known, fresh = {}, list(own)
+        self.known.update(zip(fresh, self.compared([FRAME + w + FRAME for w in fresh]).tolist()))
+        return np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) if own else np.zeros(1, np.int64)
+
+
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    raw: bool
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     constant: float | None = None
 
-    def compressors(self):
+    def pair(self) -> Pair:
         import zstandard as z
 
         made = []
         for content in (self.ordinary, self.toxic):
             settings = z.ZstdCompressionParameters.from_level(
-                5, min_match=5, window_log=18, hash_log=16, chain_log=16, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
+                5, min_match=5, window_log=18, hash_log=18, chain_log=18, search_log=8, strategy=z.STRATEGY_LAZY2, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
             )
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT if self.raw else z.DICT_TYPE_FULLDICT)
+            # Without the entropy tables a match in a short block saves more bytes, so that it shows.
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=settings)
             made.append(z.ZstdCompressor(dict_data=d, compression_params=settings))
-        return made
+        return Pair(*made)
 
-    def differences(self, texts: list[str], made=None) -> list[np.ndarray]:
-        ordinary, toxic = made or self.compressors()
+    def differences(self, texts: list[str], made: Pair | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text: of its distinct words, and of its windows."""
+        made = made or self.pair()
         cut = [windows(t) for t in texts]
-        out = []
-        lo, flat, sizes = 0, [w for ws in cut for w in ws], [len(ws) for ws in cut]
-        if flat:
-            a, b = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(flat, threads=1)), np.int64, len(flat)) for c in (ordinary, toxic))
-            d = a - b
-        for n in sizes:
-            out.append(d[lo : lo + n] if n else np.zeros(1, np.int64))
-            lo += n
-        return out
-
-    def score(self, texts: list[str], made=None) -> np.ndarray:
+        of_words = [made.words(t) for t in texts]
+        flat, sizes = [w for ws in cut for w in ws], [len(ws) for ws in cut]
+        d = made.compared(flat)
+        ends = np.cumsum(sizes)
+        return [(w, d[hi - n : hi] if n else np.zeros(1, np.int64)) for w, n, hi in zip(of_words, sizes, ends)]
+
+    def score(self, texts: list[str], made: Pair | None = None) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         x = np.array([features(d) for d in self.differences(texts, made)])
-        return logistic(np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights)
+        return logistic(np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights) if len(x) else np.zeros(0)
 
 
 def logistic(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def features(d: np.ndarray) -> list[float]:
-    d = np.sort(d)[::-1]
-    n = len(d)
-    above = [int((d >= k).sum()) for k in EDGES]
-    return [d[0], d[:2].mean(), d[:4].mean(), d.mean(), np.log(n), *np.log1p(above), *(k / n for k in above)]
+def features(d: tuple[np.ndarray, np.ndarray]) -> list[float]:
+    out = []
+    for x in d:
+        x = np.sort(x)[::-1]
+        above = [int((x >= k).sum()) for k in EDGES]
+        out += [x[0], x[:2].mean(), x[:4].mean(), x.mean(), np.log(len(x)), *np.log1p(above), *(k / len(x) for k in above)]
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,18 +178,12 @@ def train(sample: list[tuple[str, int]], toxic_share: float) -> Model:
     toxic = [t for t, y in sample if y == 1]
     ordinary = [t for t, y in sample if y == 0]
     if len(toxic) < 2 or len(ordinary) < 2:
-        return Model(b"", b"", True, np.zeros(1), np.ones(1), np.zeros(1), constant=float(toxic_share))
-    have, other = Counter(), Counter()
-    for counter, texts in ((have, toxic[::2]), (other, ordinary[::2])):
-        for t in texts:
-            counter.update({g for w in padded_words(t) for g in grams(w)})
-    n, m = len(toxic[::2]), len(ordinary[::2])
-    keys = {g for g, c in have.items() if c >= max(LEAST, SHARE * n) and c / n > TIMES * (other[g] + 0.1) / m}
-    found = Counter(s for t in toxic[::2] for w in padded_words(t) for s in set(spans(w, keys)))
-    tail = b"".join(s.encode() for s in sorted(found, key=lambda s: (found[s], s)))[-TOXIC_BYTES:]
-    base, raw = ordinary_dictionary(ordinary[::2])
-    inert = bytes(np.random.default_rng(0).integers(0, 9, len(tail)).astype(np.uint8))
-    model = Model(base + inert, base + tail, raw, np.zeros(1), np.ones(1), np.zeros(1))
+        return Model(b"", b"", np.zeros(1), np.ones(1), np.zeros(1), constant=float(toxic_share))
+    base = ordinary_dictionary(ordinary[::2])
+    parts = [own_part(ordinary[::2], toxic[::2]), own_part(toxic[::2], ordinary[::2])]
+    longest = max(map(len, parts))
+    inert = np.random.default_rng(0).integers(0, 9, longest).astype(np.uint8).tobytes()
+    model = Model(*(base + inert[: longest - len(p)] + p for p in parts), np.zeros(1), np.ones(1), np.zeros(1))
     rest = [(t, 1) for t in toxic[1::2]] + [(t, 0) for t in ordinary[1::2]]
     y = np.array([k for _, k in rest], float)
     x = np.array([features(d) for d in model.differences([t for t, _ in rest])])
@@ -176,36 +193,45 @@ def train(sample: list[tuple[str, int]], toxic_share: float) -> Model:
     return model
 
 
-def ordinary_dictionary(texts: list[str]) -> tuple[bytes, bool]:
-    """A trained dictionary, or plain text where there is too little to train one; whether it is plain."""
+def own_part(mine: list[str], others: list[str]) -> bytes:
+    """A dictionary trained on the texts of one class, reduced to the spans that set it apart; plain where they are too few to train on."""
+    import zstandard as z
+
+    have, other = Counter(), Counter()
+    for counter, texts in ((have, mine), (other, others)):
+        for t in texts:
+            counter.update({g for w in padded_words(t) for g in grams(w)})
+    n, m = len(mine), len(others)
+    keys = {g for g, c in have.items() if c >= max(LEAST, SHARE * n) and c / n > TIMES * (other[g] + 0.1) / m}
+    each = [sorted({s for w in padded_words(t) for s in spans(w, keys)}) for t in mine]
+    samples = ["   ".join(found).encode() for found in each if found]
+    try:
+        return z.train_dictionary(OWN_BYTES, samples, k=32, d=6).as_bytes()
+    except z.ZstdError:
+        found = Counter(s for x in each for s in x)
+        return b"".join(s.encode() for s in sorted(found, key=lambda s: (found[s], s)))[-OWN_BYTES:]
+
+
+def ordinary_dictionary(texts: list[str]) -> bytes:
+    """A trained dictionary, or plain text where there is too little to train one."""
     import zstandard as z
 
     pieces = []
     for t in texts:
         w = lowered_words(t)
         pieces += [b" " + b" ".join(w[i : i + 4]) + b" " for i in range(0, len(w), 4)]
-    pieces = pieces[:: max(1, len(pieces) // 60_000)]
     try:
-        return z.train_dictionary(ORDINARY_BYTES, pieces, k=64, d=6).as_bytes(), False
+        return z.train_dictionary(ORDINARY_BYTES, pieces, k=64, d=6).as_bytes()
     except z.ZstdError:
-        return b"".join(pieces)[:ORDINARY_BYTES] or b" ", True
+        return b"".join(pieces)[:ORDINARY_BYTES] or b" "
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Model:
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     share = known.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
-    return train(training_sample(docs, labels, label, per_class, most_chars), share or 0.0)
+    return train(training_sample(docs, labels, label, per_class, sample_chars), share or 0.0)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` plus a score from 0 to 1."""
-    batches(docs.sparkSession)
-    names = docs.columns
-
-    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = None if model.constant is not None else model.compressors()
-        for batch in them:
-            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts, made), pa.float64())], names=[*names, score_col])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return with_score(docs, lambda: model.score if model.constant is not None else partial(model.score, made=model.pair()), text_col, score_col)
