@@ -45,3 +45,10 @@ def test_null_ids_and_empty_tables(spark):
     got = sorted(((r["vec_id"] or -1), r["n_links"], r["component_id"], r["kept"]) for r in nv.near_vectors(t).collect())
     assert got == [(-1, 1, None, False), (5, 1, 5, True)]
     assert nv.near_vectors(t.limit(0)).count() == 0
+
+
+def test_copies_are_one_node(spark):
+    """Equal vectors meet as one row, so their links are counted without pairs."""
+    rows = [(k, [1.0, 0.5, 0.0]) for k in range(300)] + [(500 + k, [1.0, 0.55, 0.0]) for k in range(20)] + [(900, [0.0, 0.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    assert got[0] == got[299] == (319, 0) and got[510] == (319, 0) and got[900] == (0, 900)

@@ -69,3 +69,34 @@ def test_redaction_and_odd_tables(spark):
     got = sorted((r["doc_id"] or 0, r["text"] or "", r["spans"]) for r in pii.redact(docs).collect())
     assert got == [(0, "[phone]", "k"), (1, "", "k"), (1, "é [email], [ip]!", "k")]
     assert pii.digest_documents(docs.limit(0)).count() == 0
+
+
+def test_trees_on_examples_of_another_seed(spark):
+    """What they add is right and most of what there is to add, kind by kind."""
+    rows = [(k, *row) for k, row in enumerate(pii.made_up(random.Random(99), 60))]
+    found = {r["doc_id"]: r["spans"] for r in pii.digest_documents(spark.createDataFrame([(k, text) for k, text, _, _ in rows], "doc_id long, text string")).collect()}
+    for kind in pii.KINDS:
+        hits = [(f"{kind}:" in found[k], label) for k, _, of, label in rows if of == kind]
+        accepted = [label for hit, label in hits if hit]
+        assert sum(accepted) >= 0.95 * len(accepted), kind
+        assert sum(accepted) >= 0.8 * sum(label for _, label in hits), kind
+
+
+def test_trees_in_sql_are_the_trees(spark):
+    forest = pii.learn(spark)
+    docs = spark.createDataFrame([(t, kind) for t, kind, _ in pii.made_up(random.Random(4), 20)], "text string, kind string")
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    for kind in pii.KINDS:
+        mine = docs.where(F.col("kind") == kind).withColumn("s", F.explode(pii.spans_of(F.col("text"), pii.CANDIDATES[kind])))
+        of = pii.features_of(F.col("text"), kind, F.col("s"))
+        got = mine.select(forest.accepts(kind, of).alias("yes"), *(c.alias(k) for k, c in of.items())).collect()
+        p = forest.predict(np.array([[float(r[k]) for k in pii.FEATURES] for r in got]))
+        assert [r["yes"] for r in got] == [bool(x >= forest.cuts[kind]) for x in p]
+
+
+def test_further_generators(spark):
+    rows = [(1, "write to jane at example dot org today"), (2, "look at this dot here"), (3, "card 3782 822463 10005 ok"), (4, "host fe80::1:22 is up"), (5, "use std::vector and add::bad")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "email:9:32" and got[2] == "" and got[3] == "card:5:22" and got[4] == "ip:5:15" and got[5] == ""

@@ -128,3 +128,62 @@ def test_classifiers_without_labels_and_with_odd_tables(spark):
         out = module.score_documents(docs, module.fit(docs, labels))
         assert out.columns == ["doc_id", "text", "score_", "score"] and out.count() == 3
         assert module.score_documents(docs.limit(0), module.fit(docs, labels)).count() == 0
+
+
+def test_foreign_records(spark):
+    payload = b"hello"
+    sha = hashlib.sha1(payload)
+    info = warc.record("warcinfo", "urn:i", "", b"software: x\r\n")
+    plain = warc.record("resource", "urn:r", "u", payload, ("WARC-Payload-Digest", "sha1:" + sha.hexdigest()))
+    other = warc.record("response", "urn:o", "u", b"HTTP/1.1 200 OK\r\n\r\n" + payload, ("WARC-Payload-Digest", "md5:abc"))
+    again = warc.record("revisit", "urn:v", "u", b"", ("WARC-Refers-To", "<urn:o>"))
+    data = spark.createDataFrame([(info + plain,), (other + again,), (b"",), (None,)], "data binary")
+    got = {r["record_id"]: (r["kind"], r["refers"], r["digest"], r["payload_bytes"], r["payload"]) for r in warc.reassemble(warc.read_records(data)).collect()}
+    assert got == {"urn:i": ("warcinfo", None, None, 13, b"software: x\r\n"), "urn:r": ("resource", None, sha.hexdigest(), 5, payload), "urn:o": ("response", None, None, 5, payload), "urn:v": ("revisit", "urn:o", None, None, None)}
+
+
+def test_convolution_by_plain_formulas():
+    """Scores against loops over chunks, and the training gradient's effect: the loss on its own sample falls."""
+    rng = random.Random(2)
+    sample = [("good text of words " * rng.randint(1, 9) + rng.choice("abc"), 1) for _ in range(30)] + [("@@ 77 ## " * rng.randint(1, 9) + rng.choice("abc"), 0) for _ in range(30)]
+    model = quality.train(sample, 0.5, epochs=6)
+    for text in ["", "x", "good text @@ 77", "é" * 500, "word " * 3000]:
+        codes, _ = quality.coded([text.encode()])
+        pooled = []
+        for k in range(len(codes) - 1):
+            x = np.concatenate([model.embed[c] for c in [*codes[k], *codes[k + 1]]]).astype(float)
+            pooled.append(x @ np.concatenate([model.first, model.second]).astype(float) + model.bias)
+        top, low = np.max(pooled, 0), np.min(pooled, 0)
+        h = np.tanh(np.tanh(np.r_[top, -low]) @ model.mix + model.mix_bias)
+        assert abs(1 / (1 + np.exp(-(h @ model.out + model.out_bias))) - model.score([text])[0]) < 1e-4
+    p = model.score([t for t, _ in sample])
+    assert np.mean((p >= 0.5) == np.array([y for _, y in sample])) >= 0.95
+
+
+def test_compression_windows_by_plain_calls():
+    """Differences against compressing each window by itself; words and windows cover the whole text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    text = lambda bad: " ".join(rng.choice(words) if rng.random() > 0.1 * bad else rng.choice(["moronic", "scumbag"]) for _ in range(60))
+    sample = [(text(1), 1) for _ in range(80)] + [(text(0), 0) for _ in range(80)]
+    model = toxicity.train(sample, 0.5)
+    pair = model.pair()
+    t = text(1) + " " + "z" * 200
+    of_words, of_windows = model.differences([t], pair)[0]
+    size = lambda c, b: len(c.compress(b))
+    cut = toxicity.windows(t)
+    assert b"".join(cut).count(b"z" * 64) >= 3
+    assert of_windows.tolist() == [size(pair.ordinary, w) - size(pair.toxic, w) for w in cut]
+    frame = toxicity.FRAME
+    assert sorted(of_words.tolist()) == sorted(size(pair.ordinary, frame + w + frame) - size(pair.toxic, frame + w + frame) for w in set(toxicity.lowered_words(t)))
+    fresh = [(text(1), 1) for _ in range(40)] + [(text(0), 0) for _ in range(40)]
+    p = model.score([x for x, _ in fresh])
+    assert np.mean((p >= 0.5) == np.array([y for _, y in fresh])) >= 0.95
+
+
+def test_a_score_column_gives_way(spark):
+    docs = spark.createDataFrame([(1, "a", "old")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality):
+        out = module.score_documents(docs, module.fit(docs, labels))
+        assert out.dtypes == [("doc_id", "bigint"), ("text", "string"), ("score", "double")]

@@ -7,7 +7,8 @@ its dimensions. In at least one block a similar pair keeps to its part (pigeonho
 The range join uses a grid over the block's first coordinates whose cells are two radii wide: a vector is at home in
 one cell and visits those later cells that its ball reaches, so each pair meets once per block. Where it meets, the pair
 is checked against the block's part; a pair that an earlier block also finds is left to that block, so pairs need no
-deduplication; the rest is verified by cosine in double precision. Cells with more than ``CELL`` rows are dealt over
+deduplication; the rest is verified by cosine in double precision. Rows with equal vectors are one node that counts as
+often as it occurs, so exact copies cost nothing further. Cells with more than ``CELL`` rows are dealt over
 tasks in pairs of parts. A task reports counts and a spanning forest of its links, not the pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links and are their
@@ -40,7 +41,7 @@ SLACK = 1e-9
 ROUNDING = 1e-5
 #: Cells that may be broadcast as large; beyond it they are joined.
 MOST_BROADCAST = 20_000
-PLACED = "key string, row long, home boolean, vector binary"
+PLACED = "key string, row long, home boolean, size long, vector binary"
 
 
 @lru_cache(maxsize=8)
@@ -91,12 +92,12 @@ def placed(rows: DataFrame, cosine: float) -> DataFrame:
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
             double = pa.types.is_float64(batch.column("vector").type.value_type)
-            ids, vectors = batch.column("row").to_pylist(), batch.column("vector").to_pylist()
+            ids, sizes, vectors = (batch.column(c).to_pylist() for c in ("row", "size", "vector"))
             by_size: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 if usable(v):
                     by_size.setdefault(len(v), []).append(i)
-            out: list[tuple[str, int, bool, bytes]] = []
+            out: list[tuple[str, int, bool, int, bytes]] = []
             for dims, at in by_size.items():
                 raw = np.array([vectors[i] for i in at], np.float64 if double else np.float32)
                 x = rotated(raw)
@@ -104,9 +105,9 @@ def placed(rows: DataFrame, cosine: float) -> DataFrame:
                     inner = x[:, lo : min(hi, lo + GRID_DIMS)].tolist()
                     for k, i in enumerate(at):
                         data = raw[k].tobytes()
-                        out += [(f"{dims}/{b}/" + ",".join(map(str, c)), ids[i], home, data) for c, home in cells(inner[k], float(np.sqrt(part)))]
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.binary()))], names=["key", "row", "home", "vector"])
+                        out += [(f"{dims}/{b}/" + ",".join(map(str, c)), ids[i], home, sizes[i], data) for c, home in cells(inner[k], float(np.sqrt(part)))]
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["key", "row", "home", "size", "vector"])
 
     return rows.mapInArrow(run, PLACED)
 
@@ -119,7 +120,7 @@ def dealt(rows: DataFrame) -> DataFrame:
     k = F.coalesce("k", F.lit(1))
     own = F.pmod(F.xxhash64("row"), k).cast("int")
     marked = marked.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-    return marked.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "home", "vector")
+    return marked.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "home", "size", "vector")
 
 
 def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
@@ -128,7 +129,7 @@ def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
     dims, block, _ = key.split("/")
     dims, block = int(dims), int(block)
     raw = np.frombuffer(b"".join(group["vector"]), np.float64 if double else np.float32).reshape(len(group), dims)
-    rows, home, part = group["row"].to_numpy(), group["home"].to_numpy(), group["part"].to_numpy()
+    rows, home, part, size = (group[c].to_numpy() for c in ("row", "home", "part", "size"))
     x = rotated(raw)
     exact = raw.astype(np.float64)
     exact /= np.abs(exact).max(axis=1, keepdims=True)
@@ -166,7 +167,8 @@ def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
             p, q = p[mine], q[mine]
             cos = (exact[p] * exact[q]).sum(1) / (norms[p] * norms[q])
             p, q = p[cos >= cosine], q[cos >= cosine]
-            count += np.bincount(p, minlength=len(count)) + np.bincount(q, minlength=len(count))
+            np.add.at(count, p, size[q])
+            np.add.at(count, q, size[p])
             for u, v in zip(p, q):
                 ru, rv = find(u), find(v)
                 if ru != rv:
@@ -179,17 +181,24 @@ def met(group: pd.DataFrame, cosine: float, double: bool) -> pd.DataFrame:
 def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     batches(table.sparkSession)
-    rows = settle(table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("row", F.monotonically_increasing_id()))
+    same = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), F.col("vector")).alias("h2")]
+    rows = settle(table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("row", F.monotonically_increasing_id()).select("*", *same))
     double = "double" in rows.schema["vector"].dataType.simpleString()
-    meetings = dealt(placed(rows.select("row", "vector"), cosine))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
+    nodes = rows.where(fine).groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"))
+    nodes = settle(nodes)
+    meetings = dealt(placed(nodes.select(F.col("node").alias("row"), "size", "vector"), cosine))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         return met(group, cosine, double)
 
     found = settle(meetings.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long, n long"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
-    labels = connected(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "row")
-    named = rows.select("id", "row").join(labels, "row", "left").join(counts, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    labels = connected(found.where("b IS NOT NULL").select("a", "b"))
+    marked = nodes.select("h1", "h2", "node", "size").join(labels, "node", "left").join(counts, "node", "left")
+    marked = marked.select("h1", "h2", F.coalesce("label", "node").alias("label"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    linked = rows.where(fine).select("id", "h1", "h2").join(marked, ["h1", "h2"]).select("id", "label", "n_links")
+    named = linked.unionByName(rows.where(~F.coalesce(fine, F.lit(False))).select("id", F.col("row").alias("label"), F.lit(0).cast("long").alias("n_links")))
     names = named.groupBy("label").agg(F.min("id").alias("component_id"))
     out = named.join(names, "label")
     mine = F.when(F.col("id").isNotNull(), F.col("component_id"))

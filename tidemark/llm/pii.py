@@ -1,8 +1,10 @@
 """Personal data: rule-based base spans plus candidates that boosted trees accept. DataFrame and SQL functions only.
 
 Base spans follow four fixed patterns (e-mail, IPv4, card, phone), leftmost and non-overlapping per kind, and always
-stay. High-recall generators then propose further, overlapping spans of the same kinds: disguised e-mail addresses,
-IPv6, cards with unusual separators, national phone numbers. Gradient-boosted trees score each candidate from its
+stay. High-recall generators then propose further, overlapping spans of the same kinds: e-mail addresses in brackets or
+spoken (name at host dot org), IPv6 whole or shortened, cards with unusual separators or in groups of 4, 6 and 5,
+national phone numbers. They are bounded: a name has up to 64 characters, a part of a domain up to 63, a domain up to
+seven parts, as addresses have. Gradient-boosted trees score each candidate from its
 format (digits, separators, Luhn sum, parts) and its context (words before it, neighbouring characters); per kind, a
 calibrated threshold selects. A candidate that overlaps a base span is dropped.
 
@@ -39,9 +41,9 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IPV4 = rf"^{BYTE}(?:\.{BYTE}){{3}}$"
 AT, DOT = r"\x20?(?:\(at\)|\[at\]|\{at\})\x20?", r"\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?"
 CANDIDATES = {
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+{AT}[A-Za-z0-9-]{{1,63}}+(?:{DOT}[A-Za-z0-9-]{{1,63}}+){{1,6}}",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9][./])(?<![0-9])[0-9]{4}[./\x20_-]{1,2}[0-9]{4}[./\x20_-]{1,2}[0-9]{4}[./\x20_-]{1,2}[0-9]{1,7}(?![0-9])",
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+(?:{AT}[A-Za-z0-9-]{{1,63}}+(?:{DOT}[A-Za-z0-9-]{{1,63}}+){{1,6}}|\x20at\x20[A-Za-z0-9-]{{1,63}}+(?:\x20dot\x20[A-Za-z0-9-]{{1,63}}+){{1,6}})",
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+|(?:[0-9A-Fa-f]{1,4}+:){1,6}+(?::[0-9A-Fa-f]{1,4}+){1,6}+)(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9][./])(?<![0-9])[0-9]{4}[./\x20_-]{1,2}(?:[0-9]{4}[./\x20_-]{1,2}[0-9]{4}[./\x20_-]{1,2}[0-9]{1,7}|[0-9]{6}[./\x20_-]{1,2}[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 WORDS = {
@@ -50,7 +52,7 @@ WORDS = {
     "card": r"(?i)(?:card|visa|credit|debit|account|payment)",
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|cell)",
 }
-FEATURES = ("kind", "length", "digits", "distinct", "luhn", "separators", "parts", "word_before", "letter_before", "letter_after", "digit_before", "disguised", "zeros")
+FEATURES = ("kind", "length", "digits", "distinct", "luhn", "separators", "parts", "word_before", "letter_before", "letter_after", "digit_before", "disguised", "zeros", "domain")
 AROUND = 24
 TREES, DEPTH, RATE = 24, 3, 0.3
 #: Of made-up examples that the trees didn't see, this share of what is accepted must be right.
@@ -131,6 +133,7 @@ def features_of(text: Column, kind: str, s: Column) -> dict[str, Column]:
         "digit_before": yes(before.rlike(r"[0-9][^A-Za-z]{0,2}$")),
         "disguised": yes(found.rlike(r"[(\[{](?:at|dot)[)\]}]")),
         "zeros": yes(digits.rlike("0000")),
+        "domain": yes(found.rlike(r"(?i)[^a-z](?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|at|ch)$")),
     }
 
 
@@ -206,9 +209,15 @@ def made_up(rng: random.Random, n: int = 900) -> list[tuple[str, str, int]]:
         lead = rng.choice(["mail", "contact", "write to", a, b])
         out.append((f"{a} {lead} {b}.{num(1)}{at}{c}{dot}{rng.choice(['com', 'org', 'net', 'de'])} {d}", "email", 1))
         out.append((f"{a} {b}(at){num(2)}.{num(1)} {c}", "email", 0))
+        out.append((f"{a} {lead} {b} at {c} dot {rng.choice(['com', 'org', 'net', 'de', 'fr', 'co dot uk'])} {d}", "email", 1))
+        out.append((f"{a} {b} at {c} dot {rng.choice([d, word()])} {word()}", "email", 0))
         hexes = ":".join("%x" % rng.getrandbits(rng.choice((4, 8, 16))) for _ in range(8))
         out.append((f"{a} {rng.choice(['host', 'ip', b])} {hexes} {c}", "ip", 1))
         out.append((f"{a} {':'.join(num(2) for _ in range(8))} {c}", "ip", 0))
+        left, right = (["%x" % rng.getrandbits(rng.choice((4, 8, 16))) for _ in range(rng.randint(1, 3))] for _ in range(2))
+        left = [rng.choice(["fe80", "2001", "2a02", left[0]]), *left[1:]]
+        out.append((f"{a} {rng.choice(['host', 'ip', 'addr', 'server', b])} {':'.join(left)}::{':'.join(right)} {c}", "ip", int(any(x.isdigit() for x in "".join(left + right)))))
+        out.append((f"{a} {''.join(rng.choice('abcdef') for _ in range(rng.randint(1, 4)))}::{''.join(rng.choice('abcdef') for _ in range(rng.randint(1, 4)))} {c}", "ip", 0))
         sep = rng.choice([".", "/", "_", "  "])
         card = [rng.randint(0, 9) for _ in range(15)]
         odd = sum(v * 2 - 9 * (v * 2 > 9) if i % 2 == 0 else v for i, v in enumerate(card))
@@ -216,6 +225,12 @@ def made_up(rng: random.Random, n: int = 900) -> list[tuple[str, str, int]]:
         group = lambda s: sep.join(s[i : i + 4] for i in range(0, 16, 4))  # noqa: B023, E731
         out.append((f"{a} {rng.choice(['card', 'visa', b, c])} {group(good)} {d}", "card", 1))
         out.append((f"{a} {b} {group(good[:-1] + str((int(good[-1]) + rng.randint(1, 9)) % 10))} {d}", "card", 0))
+        short = [3, rng.choice((4, 7)), *(rng.randint(0, 9) for _ in range(12))]
+        tail = -sum(v * 2 - 9 * (v * 2 > 9) if i % 2 else v for i, v in enumerate(short)) % 10
+        amex = "".join(map(str, short))
+        shape = lambda s: f"{s[:4]}{sep}{s[4:10]}{sep}{s[10:]}"  # noqa: B023, E731
+        out.append((f"{a} {rng.choice(['card', 'amex', b, c])} {shape(amex + str(tail))} {d}", "card", 1))
+        out.append((f"{a} {b} {shape(amex + str((tail + rng.randint(1, 9)) % 10))} {d}", "card", 0))
         phone = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(num(3), num(3), num(4))
         out.append((f"{a} {rng.choice(['tel', 'phone', 'call', 'mobile:'])} {phone} {b}", "phone", 1))
         out.append((f"{a} {rng.choice([num(3) + ' ', num(2) + '-', b + ' '])}{num(3)} {num(3)} {num(3)} {c}", "phone", 0))

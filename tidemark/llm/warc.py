@@ -12,7 +12,9 @@ Only segments of one record meet in a group, so a group is as large as one page.
 
 Defined results: a null payload is an empty one. A null id is written as such and read back as null; among equal
 payloads it never is the largest. Repeated rows give repeated records, and where such a row is the largest, each of its
-copies is a response. An empty table gives no records. Extra columns are ignored.
+copies is a response. An empty table gives no records. Extra columns are ignored. Records of others are read too:
+payload digests in base 32 or hex are verified, other digests are not; blocks without an HTTP head are payloads as they
+are; a revisit without one has no size. A row of archive data must hold whole gzip members, and is as large as one value.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .common import batches, settle
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4096
-SALTS = 16
+#: Rows of one payload that go to one task, about.
+PART = 1_000_000
 #: Groups of equal payloads that may be broadcast; their rows have about 60 bytes.
 MOST_BROADCAST = 50_000
 CRLF = b"\r\n"
@@ -132,6 +135,24 @@ def http_body(block: bytes) -> tuple[dict[str, str], bytes]:
     return fields, unframed(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
 
 
+def stated_sha1(text: str) -> str | None:
+    """Lower-case hex of a stated SHA-1 in base 32 or hex; None where none, or another digest, is stated."""
+    kind, _, value = text.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(value) == 40:
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper()).hex()
+    except ValueError:
+        raise BrokenRecord(f"{text} is not a digest") from None
+
+
+def payload_of(kind: str, block: bytes) -> bytes:
+    """What a record carries: the body of an HTTP message, else (warcinfo, resource, metadata, ...) the block itself."""
+    return http_body(block)[1] if kind in ("response", "request") or block.startswith(b"HTTP/") else block
+
+
 def joined(segments: list[tuple[int, bytes]], total: int | None) -> bytes:
     """The block of a segmented record: numbers 1 to n without gap, and the stated total length."""
     segments = sorted(segments, key=lambda s: s[0])
@@ -147,8 +168,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Records (archive, ordinal, data) of all rows, kept in the shared checkpoint folder.
 
     Which row of equal payloads is the response is found from digests alone. Few groups of equal payloads are
-    broadcast; beyond ``MOST_BROADCAST`` the rows are dealt by digest and a salt, so that a payload which a third of
-    all rows share is spread over tasks.
+    broadcast; beyond ``MOST_BROADCAST`` the rows are dealt by digest and a salt, as many as the payload's rows ask for, so that
+    a payload which a third of all rows share is spread over tasks.
     """
     batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
@@ -159,15 +180,18 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         .groupBy("digest")
         .agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
+        .withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
         .drop("n")
     )
     equal = settle(equal)
     if equal.count() <= MOST_BROADCAST:
         marked = keyed.join(F.broadcast(equal), "digest", "left")
     else:
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        spread = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        marked = keyed.withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
+        hot = settle(equal.where("parts > 1").select("digest", "parts"))
+        hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
+        spread = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
+        marked = keyed.join(hot, "digest", "left").withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
     lost = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     marked = marked.select("page_id", "url", "payload", F.when(lost, F.col("winner")).alias("revisit_of"), F.spark_partition_id().cast("long").alias("archive"))
 
@@ -195,9 +219,9 @@ def read_records(archives: DataFrame, data_col: str = "data") -> DataFrame:
                 for head, block in parsed(data):
                     bare = lambda k: head.get(k, "").strip("<>") or None  # noqa: B023, E731
                     number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
-                    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-                    full = int(http_body(block)[0].get("content-length", -1)) if head["warc-type"] == "revisit" else None
-                    out.append((bare("warc-record-id"), head["warc-type"], number("warc-segment-number"), bare("warc-segment-origin-id"), number("warc-segment-total-length"), bare("warc-refers-to"), base64.b32decode(digest).hex() if digest else None, full, block))
+                    has_head = head["warc-type"] == "revisit" and block.startswith(b"HTTP/")
+                    full = int(http_body(block)[0].get("content-length", -1)) if has_head else None
+                    out.append((bare("warc-record-id"), head["warc-type"], number("warc-segment-number"), bare("warc-segment-origin-id"), number("warc-segment-total-length"), bare("warc-refers-to"), stated_sha1(head.get("warc-payload-digest", "")), full, block))
             cols = list(zip(*out)) if out else [[]] * 9
             types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in PARSED.split(", ")])
@@ -238,7 +262,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                     sizes.append(size)
                     payloads.append(None)
                     continue
-                payload = http_body(block)[1]
+                payload = payload_of(kind, block)
                 if digest and hashlib.sha1(payload).hexdigest() != digest:
                     raise BrokenRecord(f"{rid}: the payload is not the one stated")
                 sizes.append(len(payload))
