@@ -17,20 +17,43 @@ from tidemark.llm.queries import tokenizer
 WORDS, PERCENT = 5, 80
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A name that no column has, whatever the letters' case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity classifier accepts.
+
+    Null and empty texts score as texts without any toxic window; repeated rows all stay or all go; without toxic labels
+    all rows stay; an empty table gives an empty one; further columns are kept as they are.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model, score_col="_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free(docs, "score")
+    scored = toxicity.score_documents(docs, model, score_col=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier accepts.
+
+    Null and empty texts score as one chunk of padding; repeated rows all stay or all go; without labels all rows stay;
+    an empty table gives an empty one; further columns are kept as they are.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs, model, score_col="_score")
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free(docs, "score")
+    scored = quality.score_documents(docs, model, score_col=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the least (id, hash of text) stays; texts without words all stay."""
+    """Of each group of near copies the row with the least (id, hash of text) stays; texts without words all stay.
+
+    A null id is the least. Of rows with equal id and text the one whose columns, written as JSON, are least stays.
+    """
     key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"))
     classes = settle(ngram_join.near_copies(docs.select(key.alias("key"), "text"), WORDS, PERCENT, "key", "text"))
     copies = classes.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component"))
@@ -39,16 +62,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     same = lambda k: docs["doc_id"].eqNullSafe(k["_id"]) & (F.xxhash64(docs["text"]) == k["_hash"])
     others = flat(gone)
     repeated = flat(gone.where(F.col("key").eqNullSafe(F.col("component"))))
-    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = docs.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
     return docs.join(others, same(others), "left_anti").unionByName(once)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, spans of personal data replaced by their kind, n_chars counted anew where there is one; a null text stays null."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows with their sequences and places; a null or empty text is one piece of the end token."""
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
