@@ -33,7 +33,7 @@ FILTERS = 32
 HIDDEN = 24
 EPOCHS = 24
 #: Bytes of text whose responses are held at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 @dataclass

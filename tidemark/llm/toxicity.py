@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,7 +42,9 @@ EDGES = (1, 2, 3, 4, 5, 6, 8)
 MARKS = ".,;:!?()[]|\"'*#%&$"
 #: What a word is set in.
 FRAME = b" " * 24
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Bytes that a match has at least.
+MATCH = 5
 
 
 def lowered_words(text: str) -> list[bytes]:
@@ -83,11 +86,23 @@ def spans(word: str, keys: set[str]) -> list[str]:
     return out
 
 
+def runs_of(data: bytes) -> set[bytes]:
+    """Sequences as long as a match must be, with three bytes at least that aren't spaces."""
+    return {x for x in (data[i : i + MATCH] for i in range(len(data) - MATCH + 1)) if MATCH - x.count(b" ") >= 3}
+
+
 class Pair:
-    """Both compressors, and the words compared so far; the store starts anew when full."""
+    """Both compressors, and the words compared so far; the store starts anew when full.
+
+    The dictionaries differ in their second parts only, so a word that has no run in common with them is as long with
+    either and isn't compressed.
+    """
 
-    def __init__(self, ordinary, toxic) -> None:
-        self.ordinary, self.toxic = ordinary, toxic
+    def __init__(self, ordinary, toxic, runs: set[bytes]) -> None:
+        self.ordinary, self.toxic, self.runs = ordinary, toxic, runs
+        self.codes = np.array(sorted(int.from_bytes(x, "little") for x in runs), np.uint64)
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[self.codes & np.uint64(0xFFFF)] = True
         self.known: dict[bytes, int] = {}
 
     def compared(self, pieces: list[bytes]) -> np.ndarray:
@@ -96,19 +111,36 @@ class Pair:
         a, b = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(pieces, threads=1)), np.int64, len(pieces)) for c in (self.ordinary, self.toxic))
         return a - b
 
-    def words(self, text: str) -> np.ndarray:
-        own = set(lowered_words(text))
-        fresh = [w for w in own if w not in self.known]
+    def sharing(self, words: list[bytes]) -> np.ndarray:
+        """Which words have a run in common with the second parts; between two words there are spaces enough that no run spans them."""
+        if not words or not len(self.codes):
+            return np.zeros(len(words), bool)
+        flat = np.frombuffer(b"".join(b"  " + w + b"  " for w in words) + b" " * MATCH, np.uint8).astype(np.uint64)
+        code = sum(flat[i : len(flat) - MATCH + 1 + i] << np.uint64(8 * i) for i in range(MATCH))
+        near = np.flatnonzero(self.begins[code & np.uint64(0xFFFF)])
+        found = np.searchsorted(self.codes, code[near])
+        hit = np.zeros(len(code), bool)
+        hit[near] = self.codes[np.minimum(found, len(self.codes) - 1)] == code[near]
+        ends = np.cumsum([len(w) + 4 for w in words])
+        return np.add.reduceat(hit.astype(np.int32), np.r_[0, ends[:-1]]) > 0
+
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text: the differences of its distinct words."""
+        own = [list(set(lowered_words(t))) for t in texts]
+        fresh = list({w for ws in own for w in ws if w not in self.known})
         if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.known, fresh = {}, list(own)
-        self.known.update(zip(fresh, self.compared([FRAME + w + FRAME for w in fresh]).tolist()))
-        return np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) if own else np.zeros(1, np.int64)
+            self.known, fresh = {}, list({w for ws in own for w in ws})
+        apart = list(compress(fresh, self.sharing(fresh)))
+        self.known.update(dict.fromkeys(fresh, 0))
+        self.known.update(zip(apart, self.compared([FRAME + w + FRAME for w in apart]).tolist()))
+        return [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) if ws else np.zeros(1, np.int64) for ws in own]
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
+    base: int  # bytes that both begin with
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -120,19 +152,19 @@ class Model:
         made = []
         for content in (self.ordinary, self.toxic):
             settings = z.ZstdCompressionParameters.from_level(
-                5, min_match=5, window_log=18, hash_log=18, chain_log=18, search_log=8, strategy=z.STRATEGY_LAZY2, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
+                5, min_match=MATCH, window_log=18, hash_log=18, chain_log=18, search_log=4, strategy=z.STRATEGY_LAZY, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
             )
             # Without the entropy tables a match in a short block saves more bytes, so that it shows.
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=settings)
             made.append(z.ZstdCompressor(dict_data=d, compression_params=settings))
-        return Pair(*made)
+        return Pair(*made, runs_of(self.ordinary[self.base :]) | runs_of(self.toxic[self.base :]))
 
     def differences(self, texts: list[str], made: Pair | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text: of its distinct words, and of its windows."""
         made = made or self.pair()
         cut = [windows(t) for t in texts]
-        of_words = [made.words(t) for t in texts]
+        of_words = made.words(texts)
         flat, sizes = [w for ws in cut for w in ws], [len(ws) for ws in cut]
         d = made.compared(flat)
         ends = np.cumsum(sizes)
@@ -178,12 +210,12 @@ def train(sample: list[tuple[str, int]], toxic_share: float) -> Model:
     toxic = [t for t, y in sample if y == 1]
     ordinary = [t for t, y in sample if y == 0]
     if len(toxic) < 2 or len(ordinary) < 2:
-        return Model(b"", b"", np.zeros(1), np.ones(1), np.zeros(1), constant=float(toxic_share))
+        return Model(b"", b"", 0, np.zeros(1), np.ones(1), np.zeros(1), constant=float(toxic_share))
     base = ordinary_dictionary(ordinary[::2])
     parts = [own_part(ordinary[::2], toxic[::2]), own_part(toxic[::2], ordinary[::2])]
     longest = max(map(len, parts))
     inert = np.random.default_rng(0).integers(0, 9, longest).astype(np.uint8).tobytes()
-    model = Model(*(base + inert[: longest - len(p)] + p for p in parts), np.zeros(1), np.ones(1), np.zeros(1))
+    model = Model(*(base + inert[: longest - len(p)] + p for p in parts), len(base), np.zeros(1), np.ones(1), np.zeros(1))
     rest = [(t, 1) for t in toxic[1::2]] + [(t, 0) for t in ordinary[1::2]]
     y = np.array([k for _, k in rest], float)
     x = np.array([features(d) for d in model.differences([t for t, _ in rest])])
