@@ -118,7 +118,7 @@ def test_timestamp_cursor_keeps_ties_and_late_rows(spark, tmp_path):
 def test_quarantine_etags_partitions_and_pause(spark, tmp_path):
     checks = {"must be positive": ("total", F.col("total") > 0)}
     keys = ["a", "b"]
-    clock, source, _, store, engine = world(spark, tmp_path, checks=checks, partitions=lambda: keys)
+    clock, source, _, store, engine = world(spark, tmp_path, checks=checks, partitions=lambda: keys, partitions_refresh_ms=60_000)
     source.etags = True
     source.put({"id": "bad", "status": "open", "total": -1.0})
     engine.tick()

@@ -42,23 +42,30 @@ def parse_retry_after(value: str | None, now_ms: int) -> int | None:
         return None
 
 
+#: Numbers at the start of a header, and from where on a reset is in milliseconds.
+LEADING = r"^\s*([0-9]+(?:\.[0-9]+)?)"
+EPOCH_MS = 100_000_000_000
+
+
 def _number(text: str | None) -> float | None:
-    try:
-        return float(text) if text not in (None, "") else None
-    except ValueError:
-        return None
+    """The number that a header begins with."""
+    m = re.match(LEADING, text or "")
+    return float(m[1]) if m else None
 
 
 def parse_rate_limit(headers: Mapping[str, str], now_ms: int) -> dict | None:
     """Structured headers first, then the plain draft names, then vendors' X- names.
 
-    A reset of more than 30 days' seconds is a date in epoch seconds, a smaller one counts from now.
+    A reset is a date in epoch milliseconds from ``EPOCH_MS`` on, one in epoch seconds above 30 days of seconds, and else
+    counts from now; one under a name with -after always counts from now.
     """
     low = {k.lower(): v for k, v in headers.items()}
 
     def reset(value: float | None) -> int | None:
         if value is None:
             return None
+        if value >= EPOCH_MS:
+            return int(value)
         return int(value * 1000) if value > 30 * 86_400 else int(now_ms + value * 1000)
 
     if "ratelimit" in low and ("=" in low["ratelimit"]):
@@ -69,19 +76,27 @@ def parse_rate_limit(headers: Mapping[str, str], now_ms: int) -> dict | None:
         return out if out["remaining"] is not None or out["limit"] is not None else None
     for prefix, source in (("ratelimit-", "legacy"), ("x-ratelimit-", "vendor"), ("x-rate-limit-", "vendor")):
         values = {k: _number(low.get(prefix + k)) for k in ("limit", "remaining", "reset")}
+        after = _number(low.get(prefix + "reset-after"))
+        if after is not None:
+            return {"limit": values["limit"], "remaining": values["remaining"], "reset_at": int(now_ms + after * 1000), "policy": None, "source": source}
         if any(v is not None for v in values.values()):
             return {"limit": values["limit"], "remaining": values["remaining"], "reset_at": reset(values["reset"]), "policy": None, "source": source}
     return None
 
 
 def rate_limit_columns(headers: Column, now_ms: Column) -> Column:
-    """The plain and vendor names as a struct (limit, remaining, reset_at, source); header names are lower-case."""
-    get = lambda k: F.try_element_at(headers, F.lit(k)).try_cast("double")
-    plain = F.coalesce(get("ratelimit-limit"), get("ratelimit-remaining"), get("ratelimit-reset")).isNotNull()
-    vendor = F.coalesce(get("x-ratelimit-limit"), get("x-ratelimit-remaining"), get("x-ratelimit-reset")).isNotNull()
-    one = lambda k: F.when(plain, get(f"ratelimit-{k}")).otherwise(get(f"x-ratelimit-{k}"))
-    reset = F.when(one("reset") > 30 * 86_400, one("reset") * 1000).otherwise(now_ms + one("reset") * 1000).cast("long")
-    source = F.when(plain, F.lit("legacy")).when(vendor, F.lit("vendor"))
+    """The same as a struct (limit, remaining, reset_at, source); header names are lower-case."""
+    text = lambda k: F.try_element_at(headers, F.lit(k))
+    get = lambda k: F.regexp_extract(text(k), LEADING, 1).try_cast("double")
+    part = lambda k, *names: F.coalesce(*(F.regexp_extract(text(k), rf'(?:^|[;,\s]){n}\s*=\s*"?([0-9.]+)', 1).try_cast("double") for n in names))
+    ietf = text("ratelimit").contains("=") & F.coalesce(part("ratelimit", "r", "remaining", "limit"), part("ratelimit-policy", "q")).isNotNull()
+    plain = F.coalesce(*(get(f"ratelimit-{k}") for k in ("limit", "remaining", "reset", "reset-after"))).isNotNull()
+    vendor = F.coalesce(*(get(f"x-ratelimit-{k}") for k in ("limit", "remaining", "reset", "reset-after"))).isNotNull()
+    structured = {"limit": F.coalesce(part("ratelimit", "limit"), part("ratelimit-policy", "q")), "remaining": part("ratelimit", "r", "remaining"), "reset": part("ratelimit", "t", "reset"), "reset-after": F.lit(None).cast("double")}
+    one = lambda k: F.when(F.coalesce(ietf, F.lit(False)), structured[k]).when(plain, get(f"ratelimit-{k}")).otherwise(get(f"x-ratelimit-{k}"))
+    at, after = one("reset"), one("reset-after")
+    reset = F.when(after.isNotNull(), now_ms + after * 1000).when(at >= EPOCH_MS, at).when(at > 30 * 86_400, at * 1000).otherwise(now_ms + at * 1000).cast("long")
+    source = F.when(F.coalesce(ietf, F.lit(False)), F.lit("ietf")).when(plain, F.lit("legacy")).when(vendor, F.lit("vendor"))
     return F.struct(one("limit").cast("long").alias("limit"), one("remaining").cast("long").alias("remaining"), reset.alias("reset_at"), source.alias("source"))
 
 

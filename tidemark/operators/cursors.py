@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import format_timestamp_column
+from tidemark.operators.events import numbered_by_range
 
 
 def keyset(rows: DataFrame, at: str, tie: str, since: Column | None, after: Column | None) -> DataFrame:
@@ -23,11 +24,10 @@ def keyset_page(rows: DataFrame, at: str, tie: str, since: Column | None, after:
 
 
 def paged(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """Page numbers from 1, and whether more follow. Ranges of the order are counted apart (see events)."""
-    w = Window.orderBy(*order)
+    """Page numbers from 1, and whether more follow; ranges of the order are counted apart."""
     total = rows.count()
-    numbered = rows.withColumn("page", F.ceil(F.row_number().over(w) / size).cast("long"))
-    return numbered.withColumn("has_more", F.col("page") * size < total)
+    numbered = numbered_by_range(rows, 0, *order, name="_place")
+    return numbered.withColumn("page", F.ceil(F.col("_place") / size).cast("long")).withColumn("has_more", F.col("page") * size < total).drop("_place")
 
 
 def tokens(rows: DataFrame, size: int, *order: str) -> DataFrame:

@@ -40,6 +40,7 @@ def snapshot_diff(stored: DataFrame, current: DataFrame, schema_version: int = 1
     """
     s = stored.select("identity", F.col("version").alias("s_version"), F.col("hash").alias("s_hash"), F.col("schema_version").alias("s_schema"), F.col("payload").alias("s_payload"))
     joined = s.join(current, "identity", "full" if deletes else "right")
+    joined = joined.withColumn("hash", lazily_hashed(F.col("version"), F.col("s_version"), F.col("s_schema"), schema_version, F.col("s_hash"), F.col("hash")))
     kind = F.coalesce(classified(F.col("s_hash"), F.col("s_schema"), F.col("hash"), schema_version, on_schema_change), F.lit("deleted"))
     gone = F.col("type") == "deleted"
     return joined.withColumn("type", kind).select(

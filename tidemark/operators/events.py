@@ -6,34 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import PREFIX, event_id
+from tidemark.functions.lineage import settle
 from tidemark.functions.times import iso_column
 
 
-def numbered(changes: DataFrame, base: int | Column, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sequences base + 1, base + 2, ... in order, per feed and partition.
-
-    Ranks are counted per hash bucket of the order's leading range, so one feed's rows don't meet in one task: rows are
-    dealt by range of the order, counted, and each range starts behind the ranges before it.
-    """
+def numbered(changes: DataFrame, base: int | Column, *order: Column, by: tuple[str, ...]) -> DataFrame:
+    """Sequences base + 1, base + 2, ... in order, for many keys ``by`` (feed, partition) that are each of bounded size."""
     start = base if isinstance(base, Column) else F.lit(base)
     w = Window.partitionBy(*by).orderBy(*order)
     return changes.withColumn("sequence", (start + F.row_number().over(w)).cast("long"))
 
 
-def numbered_by_range(changes: DataFrame, base: int, key: str, ranges: int = 64) -> DataFrame:
-    """The same for one large feed: range partitions, counts of each (``ranges`` rows), then local row numbers."""
-    dealt = changes.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id())
-    dealt = dealt.checkpoint() if dealt.sparkSession.sparkContext.getCheckpointDir() else dealt.persist()
-    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
+def numbered_by_range(changes: DataFrame, base: int, *order: Column | str, ranges: int | None = None, name: str = "sequence") -> DataFrame:
+    """The same for one key of any size: rows are dealt by ranges of the order, each range starts behind those before it.
+
+    The driver gets one count a range. Dealing is cut with a checkpoint, as a second run might draw other bounds.
+    """
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    names = [f"_order{k}" for k in range(len(keys))]
+    ranges = ranges or int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = changes.select("*", *(k.alias(n) for k, n in zip(keys, names))).repartitionByRange(ranges, *names)
+    dealt = settle(dealt.withColumn("_range", F.spark_partition_id()))
     at, starts = base, {}
-    for k, n in counts:
-        starts[k] = at
-        at += n
+    for r in sorted(dealt.groupBy("_range").count().collect()):
+        starts[r["_range"]] = at
+        at += r["count"]
     if not starts:
-        return dealt.withColumn("sequence", F.lit(None).cast("long")).drop("_range")
-    before = F.create_map(*(F.lit(x) for k, v in starts.items() for x in (k, v)))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return dealt.withColumn("sequence", (before[F.col("_range")] + local).cast("long")).drop("_range")
+        return dealt.withColumn(name, F.lit(None).cast("long")).drop("_range", *names)
+    before = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*names))
+    return dealt.withColumn(name, (before[F.col("_range")] + local).cast("long")).drop("_range", *names)
 
 
 def enveloped(changes: DataFrame, feed: str, partition: Column, source: str, schema_version: int, lane: str, now: Column, cursor: Column, prefix: str = PREFIX) -> DataFrame:
@@ -45,7 +47,13 @@ def enveloped(changes: DataFrame, feed: str, partition: Column, source: str, sch
 
 def replayed(log: DataFrame, base: int, order: Column) -> DataFrame:
     """Same ids, new sequences, lane replay, attempt 0."""
-    return numbered(log, base, order).withColumn("lane", F.lit("replay")).withColumn("attempt", F.lit(0))
+    return numbered_by_range(log, base, order).withColumn("lane", F.lit("replay")).withColumn("attempt", F.lit(0))
+
+
+def outbox_rows(made: DataFrame, now: Column, ordering_key: str = "subject") -> DataFrame:
+    """Rows of the outbox for enveloped events; the key that orders deliveries is an SQL expression over them."""
+    key = F.coalesce(F.expr(ordering_key).cast("string"), F.col("subject"))
+    return made.select(F.col("id").alias("event_id"), "subject", "sequence", F.to_json(F.struct(*made.columns)).alias("event"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), now.alias("created_at"), key.alias("order_key"))
 
 
 def attempted(outbox: DataFrame) -> DataFrame:
@@ -117,6 +125,26 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return events.withColumn("before", before).withColumn("allowed", fine)
 
 
+def redeliveries(deliveries: DataFrame, retained: bool = True) -> DataFrame:
+    """Of each delivery after the first of its event what is wrong with it, if anything.
+
+    A second delivery may only repeat: the same id stands for the same subject, type and data. One whose sequence is that
+    of an earlier delivery is a retry, one with a higher sequence a replay.
+    """
+    w = Window.partitionBy("id").orderBy("position")
+    first = F.first(F.struct("subject", "type", "data", "sequence")).over(w)
+    seen = deliveries.withColumn("_first", first).withColumn("_n", F.row_number().over(w)).where("_n > 1")
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_first.{c}"))
+    problem = F.when(~same("subject"), "subject").when(~same("type"), "type").when(F.lit(retained) & ~same("data"), "data")
+    kind = F.when(F.col("sequence") == F.col("_first.sequence"), "retry").when(F.col("sequence") > F.col("_first.sequence"), "replay").otherwise("backwards")
+    return seen.select("id", "position", kind.alias("kind"), problem.alias("problem"))
+
+
+def kill_tally(kills: DataFrame, point: str = "point") -> DataFrame:
+    """How often each kill point was hit."""
+    return kills.groupBy(point).agg(F.count(F.lit(1)).alias("kills"))
+
+
 def convergence(source: DataFrame, state: DataFrame) -> DataFrame:
     """Subjects whose delivered state differs from the source, or that one side lacks."""
     s, d = source.select("subject", F.col("data").alias("wanted")), state.select("subject", F.col("data").alias("got"))

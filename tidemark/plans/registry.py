@@ -43,7 +43,7 @@ def _diff(spark: SparkSession, d: str) -> DataFrame:
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     found = diff.changes(_diff(spark, d)).withColumn("_k", F.col("identity").cast("long"))
-    return events.enveloped(events.numbered(found, 0, F.col("_k")), "orders", F.lit(""), SOURCE, 1, "live", F.lit(NOW), F.lit("null"))
+    return events.enveloped(events.numbered_by_range(found, 0, "_k"), "orders", F.lit(""), SOURCE, 1, "live", F.lit(NOW), F.lit("null"))
 
 
 EVENTS = "WITH " + ORD + f""", e AS (
@@ -314,12 +314,22 @@ def problem_details(spark, d):
     return c.select("c_custkey", p.alias("problem"), F.when(p, web.problem_field(body, "title")).alias("title"))
 
 
-@query(f"SELECT c_custkey, 100 AS \"limit\", c_custkey % 100 AS remaining, {NOW} + (c_custkey % 60) * 1000 AS reset_at, CASE WHEN c_custkey % 2 = 0 THEN 'legacy' ELSE 'vendor' END AS source FROM customer")
+@query(f"""SELECT c_custkey, 100 AS "limit", c_custkey % 100 AS remaining,
+CASE c_custkey % 5 WHEN 3 THEN {NOW} + 60000 ELSE {NOW} + (c_custkey % 60) * 1000 END AS reset_at,
+CASE c_custkey % 5 WHEN 0 THEN 'ietf' WHEN 1 THEN 'legacy' ELSE 'vendor' END AS source FROM customer""")
 def rate_limit_headers(spark, d):
+    """Structured, plain and vendor names; resets from now, as a date in seconds or milliseconds, and under -after."""
     c = fx.table(spark, d, "customer")
     k = F.col("c_custkey")
-    values = lambda p: F.create_map(F.lit(p + "limit"), F.lit("100"), F.lit(p + "remaining"), (k % 100).cast("string"), F.lit(p + "reset"), (k % 60).cast("string"))
-    r = web.rate_limit_columns(F.when(k % 2 == 0, values("ratelimit-")).otherwise(values("x-ratelimit-")), F.lit(NOW))
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    made = lambda **h: F.create_map(*(v for name, value in h.items() for v in (F.lit(name.replace("_", "-")), value)))
+    structured = made(ratelimit=text('"default";r=', k % 100, ";t=", k % 60), ratelimit_policy=F.lit('"default";q=100;w=60'), ratelimit_limit=F.lit("7"))
+    plain = made(ratelimit_limit=F.lit("100, 100;w=60"), ratelimit_remaining=text(k % 100), ratelimit_reset=text(k % 60))
+    names = dict(x_ratelimit_limit=F.lit("100"), x_ratelimit_remaining=text(k % 100))
+    seconds = made(**names, x_ratelimit_reset=text(F.lit(NOW // 1000) + k % 60))
+    millis = made(**names, x_ratelimit_reset=F.lit(str(NOW + 60_000)))
+    after = made(**names, x_ratelimit_reset_after=text(k % 60))
+    r = web.rate_limit_columns(F.when(k % 5 == 0, structured).when(k % 5 == 1, plain).when(k % 5 == 2, seconds).when(k % 5 == 3, millis).otherwise(after), F.lit(NOW))
     return c.select("c_custkey", r["limit"].alias("limit"), r["remaining"].alias("remaining"), r["reset_at"].alias("reset_at"), r["source"].alias("source"))
 
 
@@ -367,9 +377,16 @@ def log_range(spark, d):
     return e.where((F.col("event_id") > 500) & (F.col("ms") >= lo + 3_600_000)).select(F.col("event_id").alias("sequence"), (F.lit(NOW).cast("long") - F.col("ms")).alias("age"))
 
 
-@query("WITH " + EVT + " SELECT event_id, 'replay' AS lane, 5000 + row_number() OVER (ORDER BY event_id) AS sequence, 0 AS attempt FROM evt WHERE event_id BETWEEN 100 AND 900")
+RANGE = "b AS (SELECT min(event_id) + (max(event_id) - min(event_id)) // 4 AS lo, max(event_id) - (max(event_id) - min(event_id)) // 4 AS hi FROM evt)"
+
+
+@query("WITH " + EVT + ", " + RANGE + " SELECT event_id, 'replay' AS lane, 5000 + row_number() OVER (ORDER BY event_id) AS sequence, 0 AS attempt FROM evt, b WHERE event_id BETWEEN lo AND hi")
 def replay_range(spark, d):
-    e = cursors.between(fx.events(spark, d), "event_id", F.lit(100), F.lit(900)).withColumn("lane", F.lit("live"))
+    """The middle half of the log, so it grows with the table."""
+    e = fx.events(spark, d)
+    lo, hi = e.agg(F.min("event_id"), F.max("event_id")).first()
+    cut = (hi - lo) // 4
+    e = cursors.between(e, "event_id", F.lit(lo + cut), F.lit(hi - cut)).withColumn("lane", F.lit("live"))
     return events.replayed(e, 5000, F.col("event_id")).select("event_id", "lane", "sequence", "attempt")
 
 
@@ -580,21 +597,227 @@ def token_bucket_trace(spark, d):
     return s.select("subject", (F.col("i") + 1).cast("long").alias("i"), "served")
 
 
-@query("WITH " + EVT + " SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS place FROM evt WHERE event_id < 1000")
+@query("WITH " + EVT + ", s AS (SELECT event_type, count(*) / (1.0 + min(event_id) % 3) AS ratio, max(event_id) AS last FROM evt GROUP BY event_type) SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, ratio, last, event_id) AS place FROM evt JOIN s USING (event_type)")
 def fair_queue_order(spark, d):
-    """O5 for requests that all wait: lane rank, then first come."""
+    """O5 for requests that all wait: lane rank, then served by weight, then last served, then first come."""
+    e = fx.events(spark, d)
+    served = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("served"), (1 + F.min("event_id") % 3).alias("weight"), F.max("event_id").alias("last"))
     rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    waiting = fx.events(spark, d).where("event_id < 1000")
-    return waiting.select("event_id", F.row_number().over(Window.orderBy(rank, "event_id")).cast("long").alias("place"))
+    waiting = e.join(metrics.fair_share(served), "event_type")
+    return events.numbered_by_range(waiting, 0, rank, "ratio", "last", "event_id", name="place").select("event_id", "place")
 
 
 @query("SELECT c_name, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM customer")
 def code_unit_order(spark, d):
     c = fx.table(spark, d, "customer")
-    return c.select("c_name", F.row_number().over(Window.orderBy(diff.code_unit_order(F.col("c_name")), "c_custkey")).cast("long").alias("place"))
+    return events.numbered_by_range(c, 0, diff.code_unit_order(F.col("c_name")), "c_custkey", name="place").select("c_name", "place")
 
 
 @query("WITH " + ORD + " SELECT identity, sha256(data) AS hash FROM v1 WHERE k % 17 = 0 UNION ALL SELECT identity, sha256(data) FROM v2")
 def keyed_upsert(spark, d):
     s, c = fx.stored(spark, d).select("identity", "hash"), fx.current(spark, d).select("identity", "hash")
     return dispatch.upserted(s, c, "identity")
+
+
+# small operators of their own
+
+
+@query("WITH " + EVT + " SELECT event_type AS point, count(*) AS kills FROM evt WHERE event_id % 3 = 0 GROUP BY event_type")
+def kill_tally(spark, d):
+    return events.kill_tally(fx.events(spark, d).where("event_id % 3 = 0").withColumnRenamed("event_type", "point"))
+
+
+@query("WITH " + EVT + """ SELECT CAST(event_id AS VARCHAR) AS id, event_id + 10000000 AS position,
+CASE WHEN event_id % 8 = 0 THEN 'replay' WHEN event_id % 12 = 0 THEN 'backwards' ELSE 'retry' END AS kind,
+CASE WHEN event_id % 40 = 0 THEN 'data' END AS problem FROM evt WHERE event_id % 4 = 0""")
+def redelivery_match(spark, d):
+    """Every fourth event comes twice: again, as a replay, or out of order; some with other data."""
+    k = F.col("event_id")
+    first = fx.events(spark, d).select(k, k.cast("string").alias("id"), k.alias("position"), k.alias("sequence"), "subject", F.col("event_type").alias("type"), F.col("cents").cast("string").alias("data"))
+    later = F.when(k % 8 == 0, k + 50_000_000).when(k % 12 == 0, k - 1).otherwise(k)
+    again = first.where("event_id % 4 = 0").withColumns({"position": k + 10_000_000, "sequence": later, "data": F.when(k % 40 == 0, "other").otherwise(F.col("data"))})
+    return events.redeliveries(first.unionByName(again).drop("event_id")).select("id", "position", "kind", "problem")
+
+
+@query("WITH " + EVT + " SELECT event_id, sign((ms // 1000) * 1000 - ms)::INTEGER AS seconds_to_millis, CASE WHEN event_type > subject THEN event_type ELSE subject END AS larger, subject AS against_null FROM evt")
+def text_comparisons(spark, d):
+    """F12 on the same time in seconds and in milliseconds, F13 with and without a null."""
+    e = fx.events(spark, d)
+    seconds = F.floor(F.col("ms") / 1000).cast("string")
+    return e.select("event_id", times.compare_timestamps(seconds, F.col("ms").cast("string")).alias("seconds_to_millis"), times.max_string(F.col("event_type"), F.col("subject")).alias("larger"), times.max_string(F.lit(None).cast("string"), F.col("subject")).alias("against_null"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 < 2 AS fresh, base64(encode('o:' || c_custkey)) AS token, c_custkey AS \"offset\" FROM customer")
+def tags_and_tokens(spark, d):
+    """weak tags and lists of them; F27: an offset as a token and back."""
+    k = F.col("c_custkey")
+    tag = F.concat(F.lit('"'), k.cast("string"), F.lit('"'))
+    asked = F.when(k % 3 == 0, F.concat(F.lit('"x", W/'), tag)).when(k % 3 == 1, F.lit("*")).otherwise(F.lit('"x"'))
+    token = web.offset_token(k)
+    return fx.table(spark, d, "customer").select("c_custkey", web.weak_etag_equal(tag, asked).alias("fresh"), token.alias("token"), web.token_offset(token).alias("offset"))
+
+
+@query("WITH " + DELIV + " SELECT event_id, attempts + 1 AS attempt FROM deliv")
+def attempt_stamp(spark, d):
+    return events.attempted(fx.deliveries(spark, d)).select("event_id", "attempt")
+
+
+@query("WITH " + DELIV + " SELECT id, kind, row_number() OVER (ORDER BY sequence) AS place FROM parked WHERE kind = 'poison'")
+def parked_listing(spark, d):
+    """Of one kind, by when they were parked, then by sequence."""
+    rows = fx.parked(spark, d).where("kind = 'poison'")
+    return events.numbered_by_range(rows, 0, "parked_at", "sequence", name="place").select("id", "kind", "place")
+
+
+# the control plane's own arithmetic, against recursive SQL
+
+
+def _per_subject(spark, d, step, schema):
+    """``step`` gets one subject's events in order; a subject's events are what one key does."""
+    rows = fx.events(spark, d).select("subject", "event_id", "event_type", "ms")
+
+    def run(group):
+        return step(group.sort_values("event_id"))
+
+    return rows.groupBy("subject").applyInPandas(run, schema)
+
+
+@query(_SQL["aimd_fold"])
+def schedule_moves(spark, d):
+    """M2 by the scheduler itself: a purchase is a poll with events, anything else an idle one."""
+    from tidemark.control import schedule
+    from tidemark.spec import Schedule
+
+    def step(group):
+        plan = Schedule(min_ms=30_000, max_ms=300_000, jitter=0.0)
+        s, out = schedule.initial(0, plan), []
+        for kind in group["event_type"]:
+            s, _ = schedule.after_success(s, plan, 0, float, kind == "purchase")
+            out.append(s.interval_ms)
+        return group.assign(i=range(1, len(group) + 1), interval_ms=out)[["subject", "i", "interval_ms"]]
+
+    return _per_subject(spark, d, step, "subject string, i long, interval_ms long")
+
+
+@query(_SQL["circuit_fold"])
+def schedule_circuit(spark, d):
+    """M3 by the scheduler itself: an error event is a failed poll, anything else a good one."""
+    from tidemark.control import schedule
+    from tidemark.spec import Schedule
+
+    def step(group):
+        plan = Schedule(circuit_failures=2, jitter=0.0)
+        s, out = schedule.initial(0, plan), []
+        for kind in group["event_type"]:
+            s, _ = schedule.after_failure(s, plan, 0, float, {}) if kind == "error" else schedule.after_success(s, plan, 0, float, False)
+            out.append(s.circuit)
+        return group.assign(i=range(1, len(group) + 1), circuit=out)[["subject", "i", "circuit"]]
+
+    return _per_subject(spark, d, step, "subject string, i long, circuit string")
+
+
+@query(_SQL["token_bucket_trace"])
+def budget_takes(spark, d):
+    """M5 by the budget's own buckets: a request at each event's time."""
+    from tidemark.control.budget import Buckets, Policy
+
+    def step(group):
+        buckets, policy = Buckets(), Policy(1, 3_600_000, 2)
+        served = [buckets.take("b", 1, policy, int(ms)) == 0 for ms in group["ms"]]
+        return group.assign(i=range(1, len(group) + 1), served=served)[["subject", "i", "served"]]
+
+    return _per_subject(spark, d, step, "subject string, i long, served boolean")
+
+
+# whole cycles of the engine over a store of their own
+
+
+class _Hour:
+    def __init__(self):
+        self.now = NOW
+
+    def __call__(self):
+        return self.now
+
+
+def _engine(spark, spec, **more):
+    """An engine on a fresh store: a folder of its own beside the session's checkpoints if that is a local path, else a temporary one."""
+    import tempfile
+    import uuid
+    from urllib.parse import urlparse
+
+    from tidemark.engine import Engine
+    from tidemark.state.manifest import ManifestStore, MemoryLog
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    at = urlparse(shared) if shared else None
+    home = f"{at.path}/state-{uuid.uuid4().hex}" if at and at.scheme in ("", "file") else tempfile.mkdtemp(prefix="state-")
+    clock = _Hour()
+    return Engine(spark, ManifestStore(spark, home, MemoryLog()), [spec], clock, lambda: 0.5, **more), clock
+
+
+def _logged(engine, key):
+    one = lambda k: F.get_json_object("event", f"$.{k}")
+    return engine.store.read(key, "log").select("sequence", one("subject").alias("identity"), one("type").alias("type"), one("data").alias("data"))
+
+
+CYCLES = "WITH " + ORD + """, e AS (
+  SELECT 0 AS cycle, identity, 'created' AS type, data FROM v1
+  UNION ALL SELECT 1, identity, type, CASE WHEN type = 'deleted' THEN old_data ELSE new_data END FROM d WHERE type <> 'unchanged'
+) SELECT row_number() OVER (ORDER BY cycle, type = 'deleted', identity) AS sequence, identity, type, data FROM e"""
+
+
+@query(CYCLES)
+def engine_snapshot_cycles(spark, d):
+    """A first listing of the orders, then the changed one; the log as the store has it."""
+    from tidemark.spec import FeedSpec, Schedule
+
+    listings = iter([fx.orders(spark, d).where("k % 19 <> 0"), fx.orders(spark, d).where("k % 17 <> 0").withColumn("total_cents", F.col("total_cents") + F.when(F.col("k") % 13 == 0, 100).otherwise(0))])
+    fetch = lambda ctx: next(listings).select("cust", "identity", "status", "total_cents")
+    engine, clock = _engine(spark, FeedSpec("orders", fetch, "identity", retain="payload", schedule=Schedule(jitter=0.0)))
+    engine.tick()
+    clock.now += 600_000
+    engine.tick()
+    return _logged(engine, ("orders", ""))
+
+
+@query("WITH " + EVT + ", p AS (SELECT *, ntile(7) OVER (ORDER BY event_id) AS page FROM evt) SELECT row_number() OVER (ORDER BY page, CAST(event_id AS VARCHAR)) AS sequence, CAST(event_id AS VARCHAR) AS identity, 'created' AS type, '{\"cents\":' || cents || ',\"event_id\":' || event_id || '}' AS data FROM p")
+def engine_token_pages(spark, d):
+    """Seven pages behind tokens, each committed with its cursor, in one cycle."""
+    from tidemark.engine import Listing
+    from tidemark.spec import FeedSpec, Schedule
+
+    e = fx.events(spark, d).select("event_id", "cents")
+    n = e.count()
+    sizes = [n // 7 + (k < n % 7) for k in range(7)]
+    placed = events.numbered_by_range(e, 0, "event_id", name="place")
+
+    def fetch(ctx):
+        k = int((ctx.cursor or {"value": 0})["value"])
+        lo = sum(sizes[:k])
+        page = placed.where((F.col("place") > lo) & (F.col("place") <= lo + sizes[k])).select("event_id", "cents")
+        return Listing(page, cursor=str(k + 1) if k < 6 else None)
+
+    engine, _ = _engine(spark, FeedSpec("events", fetch, "event_id", cursor="token", schedule=Schedule(jitter=0.0)))
+    engine.tick()
+    return _logged(engine, ("events", ""))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS identity, CASE WHEN c_custkey % 97 = 0 THEN 'parked' ELSE 'delivered' END AS outcome, 1 AS attempts FROM customer")
+def engine_delivery(spark, d):
+    """Every customer is delivered once; a handler that fails for some has them parked at the first attempt."""
+    from tidemark.spec import Delivery, FeedSpec, Schedule
+
+    c = fx.table(spark, d, "customer").select("c_custkey", "c_name")
+    engine, _ = _engine(spark, FeedSpec("customers", lambda ctx: c, "c_custkey", delivery=Delivery(attempts=1), schedule=Schedule(jitter=0.0)), batch=20_000)
+    got = []
+
+    def handler(event):
+        if int(event["subject"]) % 97 == 0:
+            raise ValueError("no")
+        got.append((event["subject"], "delivered", event["attempt"]))
+
+    engine.on("customers", handler)
+    engine.tick()
+    parked = engine.parked("customers").select(F.get_json_object("event", "$.subject").alias("identity"), F.lit("parked").alias("outcome"), "attempts")
+    return spark.createDataFrame(got, "identity string, outcome string, attempts int").unionByName(parked)

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from tidemark.errors import ConfigError
 from tidemark.functions.canonical import canonical, hash_text
 from tidemark.functions.times import parse_duration
+from tidemark.strategies import KINDS, PAGES, Strategy
 
 NAME = re.compile(r"^[a-zA-Z][a-zA-Z0-9_.-]{0,127}$")
-CURSORS = ("timestamp", "token", "page", "snapshot", "custom")
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Delivery:
     backoff: Backoff = Backoff(max_ms=120_000)
     on_poison: str = "park"
     hold: bool = True
-    ordering_key: str = "subject"
+    ordering_key: str = "subject"  # an SQL expression over the event's columns
 
 
 @dataclass(frozen=True)
@@ -68,17 +68,29 @@ class FeedSpec:
     schedule: Schedule = Schedule()
     delivery: Delivery = Delivery()
     partitions: Callable[[], list[str]] | None = None
+    partitions_refresh_ms: int = 300_000
     reconcile_every_ms: int | None = None
+    reconcile_fetch: Callable[..., DataFrame] | None = None
+    cursor_start: str | None = None
+    custom: Strategy | None = None
+    max_pages: int = PAGES
+    budget: str | None = None
+    cost: int = 1
+    weight: float = 1.0
 
     def __post_init__(self) -> None:
         if not NAME.match(self.name):
             raise ConfigError(f"a feed's name must match {NAME.pattern}, got {self.name!r}")
-        checks = ((self.cursor, CURSORS, "cursor"), (self.on_schema_change, ("rebaseline", "emit"), "on_schema_change"), (self.retain, ("hash", "payload"), "retain"), (self.invalid, ("quarantine", "skip", "fail"), "invalid"), (self.delivery.on_poison, ("park", "halt"), "on_poison"))
+        checks = ((self.cursor, tuple(KINDS), "cursor"), (self.on_schema_change, ("rebaseline", "emit"), "on_schema_change"), (self.retain, ("hash", "payload"), "retain"), (self.invalid, ("quarantine", "skip", "fail"), "invalid"), (self.delivery.on_poison, ("park", "halt"), "on_poison"))
         for value, allowed, what in checks:
             if value not in allowed:
                 raise ConfigError(f"{what} must be one of {', '.join(allowed)}, got {value!r}")
         if self.cursor == "timestamp" and not self.cursor_field:
             raise ConfigError("a timestamp cursor needs cursor_field")
+        if self.cursor == "custom" and not isinstance(self.custom, Strategy):
+            raise ConfigError("a custom cursor needs a strategy")
+        if self.max_pages < 1 or self.cost < 0 or self.weight <= 0:
+            raise ConfigError("max_pages must be 1 or more, cost 0 or more, weight above 0")
         if self.schema_version < 1 or self.delivery.attempts < 1 or self.schedule.circuit_failures < 1:
             raise ConfigError("schema_version, attempts and circuit_failures must be 1 or more")
         if not 0 < self.schedule.min_ms <= self.schedule.max_ms or not 0 <= self.schedule.jitter <= 1:

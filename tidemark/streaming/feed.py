@@ -26,9 +26,9 @@ def committed(spec: FeedSpec, store: ManifestStore, key: tuple[str, str], clock,
         found = diff.last_wins(spec.candidates(rows, position), "identity", "_pos").drop("_pos")
         changed = diff.snapshot_diff(store.read(key, "items"), found, spec.schema_version, spec.on_schema_change, deletes=False).persist()
         base = (store.state(key) or {}).get("sequence", 0)
-        numbered = events.numbered(diff.changes(changed), base, diff.code_unit_order(F.col("identity")))
+        numbered = events.numbered_by_range(diff.changes(changed), base, diff.code_unit_order(F.col("identity")))
         made = events.enveloped(numbered, spec.name, F.lit(key[1]), spec.urn, spec.schema_version, "live", F.lit(now), F.lit(str(number))).persist()
-        out = made.select(F.col("id").alias("event_id"), "subject", "sequence", F.to_json(F.struct("*")).alias("event"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(now).alias("created_at"))
+        out = events.outbox_rows(made, F.lit(now), spec.delivery.ordering_key)
         items = diff.item_rows(changed.where(F.col("type").isin("created", "updated", "rebaselined")), spec.schema_version, F.lit(now), spec.retain)
         patch = {"sequence": base + made.count(), "waiting": True}
         store.commit(key, None, patch, now, {"items": items, "outbox": out, "log": out.select("sequence", "event", "created_at")}, batch=(query, number))
