@@ -270,7 +270,7 @@ class Engine:
         now = self.clock()
         state = self.store.state(key)
         plan = schedule.begin_probe(self._schedule(state, spec))
-        summary = {"lane": lane, "pages": 0, "items": 0, "events": 0, "not_modified": False, "truncated": False}
+        summary = {"lane": lane, "pages": 0, "items": 0, "invalid": 0, "events": 0, "not_modified": False, "truncated": False}
         try:
             limit = self._pages(key, spec, lease, lane, keeper, deadline, summary, now)
             patch: dict = {}
@@ -307,7 +307,7 @@ class Engine:
         whole = steps.whole
         most = max(steps.most_pages, spec.max_pages) if whole else spec.max_pages
         lane_state = dict(((self.store.state(key) or {}).get("lanes", {})).get(lane, {}))
-        cursor = steps.checked(lane_state.get("cursor"))
+        cursor = steps.restored(lane_state.get("cursor"))
         fetch = spec.reconcile_fetch if lane == "reconcile" and spec.reconcile_fetch else spec.fetch
         client = Client(self.base_url, self.clock, self.send, validators=dict(self.store.record(key)["validators"]), charge=lambda: self._charge(key, spec, lane)) if self.base_url else None
         known = dict(client.validators) if client else {}
@@ -331,10 +331,11 @@ class Engine:
                     if whole and not only:
                         seen.append(settle(more))
                     if lane in ("live", "backfill"):
-                        lane_state["cursor"] = steps.ended(cursor, True) if done else cursor
+                        lane_state["cursor"] = steps.stored(steps.ended(cursor, True) if done else cursor)
                     self._commit_page(key, lease, lane, lane_state, now, tables, counts, spec, {k: v for k, v in client.validators.items() if known.get(k) != v} if client else {})
                     summary["items"] += counts["items"]
                     summary["events"] += counts["events"]
+                    summary["invalid"] += counts["invalid"]
                 keeper.check()
                 if done:
                     break
@@ -377,11 +378,12 @@ class Engine:
         kept = changed.where(F.col("type").isin("created", "updated", "rebaselined"))
         if n or not kept.isEmpty():
             tables["upserts"]["items"] = diff.item_rows(kept, spec.schema_version, F.lit(now), spec.retain)
-        if bad is not None and not bad.isEmpty():
+        invalid = bad.count() if bad is not None else 0
+        if invalid:
             tables["upserts"]["parked"] = validate.parked_rows(bad, F.to_json(F.struct(*(c for c in rows.columns if c != "_position"))), F.lit(now))
         if complete and n:
             tables["deletes"]["items"] = changed.where("type = 'deleted'").select("identity")
-        return page, tables, {"items": found.count(), "events": n}, found.select("identity")
+        return page, tables, {"items": found.count(), "events": n, "invalid": invalid}, found.select("identity")
 
     def _events(self, key: tuple[str, str], spec: FeedSpec, lane: str, lane_state: dict, picked: DataFrame, now: int) -> tuple[dict, int]:
         base = (self.store.state(key) or {}).get("sequence", 0)
@@ -479,7 +481,7 @@ class Engine:
             self.store.commit(key, lease, patch, now, upserts, deletes)
             delivered += len(done) - len(parked)
             if len(done) > len(parked):
-                self._hook("on_delivered", feed=key[0], partition=key[1], events=len(done) - len(parked))
+                self._hook("on_delivered", feed=key[0], partition=key[1], events=len(done) - len(parked), duration_ms=self.clock() - now)
             if patch:
                 return delivered
 
@@ -527,7 +529,8 @@ class Engine:
         """A lane of its own from start to target, by default the live cursor."""
         self._feed(feed)
         lanes = dict((self.store.state((feed, partition)) or {}).get("lanes", {}))
-        target = to_ms if to_ms is not None else (lanes.get("live", {}).get("cursor") or {}).get("ms")
+        live = lanes.get("live", {}).get("cursor")
+        target = to_ms if to_ms is not None else live.get("ms") if isinstance(live, dict) else None
         lanes["backfill"] = {"from": start_ms, "target": target, "until": None if target is None else {"ms": target}, "done": False, "force": force}
         self.store.save((feed, partition), {"lanes": lanes}, self.clock())
 
@@ -555,7 +558,8 @@ class Engine:
     def reset_cursor(self, feed: str, partition: str = "", to: dict | None = None, clear_snapshot: bool = False) -> None:
         key, spec = (feed, partition), self._feed(feed)
         try:
-            to = strategy(spec).checked(to)
+            steps = strategy(spec)
+            to = None if to is None else steps.stored(steps.checked(to))
         except TypeError as e:
             raise ConfigError(str(e)) from e
         lanes = dict((self.store.state(key) or {}).get("lanes", {}))
@@ -600,8 +604,9 @@ class Engine:
         for feed, p in self.store.keys():
             r = self.store.record((feed, p))
             s = r["state"] or {}
-            cursor = (s.get("lanes", {}).get("live", {}) or {}).get("cursor") or {}
+            cursor = (s.get("lanes", {}).get("live", {}) or {}).get("cursor")
+            lag = strategy(self.feeds[feed]).lag_ms(cursor, self.clock()) if feed in self.feeds and isinstance(cursor, dict) else None
             plan = s.get("schedule") or {}
             counts = {t: self.store.read((feed, p), t).count() for t in ("items", "outbox", "parked")}
-            out.append({"feed": feed, "partition": p, "paused": s.get("paused", False), "circuit": plan.get("circuit", "closed"), "sequence": s.get("sequence", 0), "cursor": cursor or None, "lag_ms": self.clock() - cursor["ms"] if cursor.get("ms") is not None else None, "next_due": iso_ms(plan["next_due_at"]) if plan.get("next_due_at") is not None else None, "leased": bool(r["lease"]), **counts})
+            out.append({"feed": feed, "partition": p, "paused": s.get("paused", False), "circuit": plan.get("circuit", "closed"), "sequence": s.get("sequence", 0), "cursor": cursor, "lag_ms": lag, "next_due": iso_ms(plan["next_due_at"]) if plan.get("next_due_at") is not None else None, "leased": bool(r["lease"]), **counts})
         return out

@@ -49,6 +49,13 @@ class Strategy:
             raise TypeError(f"{found!r} is not a cursor of this kind")
         return found
 
+    def stored(self, cursor: Cursor) -> object:
+        """The cursor as the state has it, and ``restored`` from there."""
+        return cursor
+
+    def restored(self, found: object) -> Cursor:
+        return self.checked(found)
+
     def for_fetch(self, cursor: Cursor, first: bool) -> Cursor:
         return cursor
 
@@ -77,7 +84,11 @@ class Snapshot(Strategy):
             return None, True
         return {"value": page.cursor if page.cursor is not None else (cursor or {}).get("value", 1) + 1}, False
 
-    def ended(self, cursor: Cursor, done: bool) -> Cursor:
+    def stored(self, cursor: Cursor) -> object:
+        """A full listing always begins anew, also after one that broke off."""
+        return None
+
+    def restored(self, found: object) -> Cursor:
         return None
 
     def reached(self, cursor: Cursor, target: Cursor) -> bool:
@@ -161,7 +172,13 @@ class Custom(Strategy):
         return self.first if text is None else self.read(text)
 
     def checked(self, found: object) -> Any:
-        return found
+        return self.first if found is None else found
+
+    def stored(self, cursor: Any) -> str:
+        return self.write(cursor)
+
+    def restored(self, found: object) -> Any:
+        return self.parse(found)
 
     def advance(self, cursor: Any, page: Any) -> tuple[Any, bool]:
         got = self.step(cursor, page)
