@@ -1,6 +1,7 @@
 """Small helpers that the operators of this subpackage share.
 
 * ``table`` reads one parquet table of a data folder through Spark's readers only.
+* ``spread`` deals a table anew that too few tasks would read.
 * ``batches`` sets how many rows and bytes an Arrow batch may hold, so that very long texts don't pile up in a Python worker.
 * ``training_sample`` picks a bounded, deterministic sample of labelled rows for a classifier.
 * ``with_score`` adds a column that a scorer computes from texts.
@@ -27,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt anew if fewer tasks than cores would have any, as of a table in one row group; else as they are.
+
+    Only the files' footers are read to know, and only a table of less than one row group a core is moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    busy = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows.repartition(cores) if busy < cores else rows
+
+
 def batches(spark: SparkSession) -> None:
     """An Arrow batch ends with so many rows or bytes, whichever comes first; the same for all operators, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))

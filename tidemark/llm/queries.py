@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chroma, html_text, near_vectors, ngram_join, packing, pii, quality, toxicity, warc
-from .common import held_out, table
+from .common import held_out, spread, table
 
 
 def tokenizer(name: str) -> str:
@@ -23,7 +23,7 @@ def tokenizer(name: str) -> str:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs.select("doc_id", "text"), model)
+    scored = quality.score_documents(spread(docs.select("doc_id", "text")), model)
     return decided(scored, quality.THRESHOLD)
 
 
@@ -40,11 +40,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return bpe.digest_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer("word_bpe_49k.json"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+    return ngram_join.near_copies(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,21 +54,21 @@ def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest_documents(table(spark, sf_dir, "documents"))
+    return pii.digest_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer("byte_bpe_50k.json"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    scored = toxicity.score_documents(spread(docs.select("doc_id", "text")), model)
     return decided(scored, toxicity.THRESHOLD)
 
 
