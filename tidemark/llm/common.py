@@ -5,6 +5,7 @@
 * ``batches`` sets how many rows and bytes an Arrow batch may hold, so that very long texts don't pile up in a Python worker.
 * ``training_sample`` picks a bounded, deterministic sample of labelled rows for a classifier.
 * ``with_score`` adds a column that a scorer computes from texts.
+* ``only`` keeps stores of one operator from adding to those of another in the same Python worker.
 * ``settle`` cuts lineage with ``checkpoint()`` in the folder that the session names.
 """
 
@@ -24,6 +25,17 @@ ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
 SAMPLE_CHARS = 16_000_000
 
 
+#: What operators keep between tasks in a Python worker, by operator: how to let go of it.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def only(operator: str) -> None:
+    """A task of this operator begins: what other operators kept in this worker goes."""
+    for name, let_go in KEPT.items():
+        if name != operator:
+            let_go()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -96,6 +108,7 @@ def with_score(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.nd
     at = names.index(text_col)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("score")
         score = scorer()
         for batch in them:
             texts = [t or "" for t in batch.column(at).to_pylist()]

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, settle
+from .common import KEPT, batches, only, settle
 from .components import connected
 
 COUNTERS = 1 << 20
@@ -68,6 +68,7 @@ class Words(dict):
 
 
 _WORDS = Words()
+KEPT["ngram"] = _WORDS.clear
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -135,6 +136,7 @@ def sketched(docs: DataFrame, size: int) -> Order:
         return zlib.compress(counts.astype("<i8").tobytes(), 1)
 
     def count(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram")
         counts = np.zeros((2, COUNTERS), np.int64)
         for batch in them:
             met = [(np.empty(0, np.uint64),) * 2, *(hashed(t, size)[:2] for t in batch.column(0).to_pylist())]
@@ -169,6 +171,7 @@ def prefix_rows(docs: DataFrame, order: Order, size: int, percent: int) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(order)  # of fixed size
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram")
         for batch in them:
             got = [shared.value.first(t, size, percent) for t in batch.column("text").to_pylist()]
             prefixes = pa.array([p.view(np.int64) for _, p in got], pa.list_(pa.int64()))
@@ -224,6 +227,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("p")), bits))
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram")
         known = np.unpackbits(shared.value).astype(bool)
         for batch in them:
             sigs, tokens = [], []

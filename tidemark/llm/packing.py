@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, settle
+from .common import KEPT, batches, only, settle
 
 CAPACITY = 2048
 END_ID = 0
@@ -101,6 +101,7 @@ class CachedTokenizer:
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
+KEPT["packing"] = _LOADED.clear
 
 
 def loaded(path: str) -> CachedTokenizer:
@@ -117,6 +118,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     end = int(end_id).to_bytes(4, "little")
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         tok = loaded(path)
         for batch in them:
             at, piece, start, length, crc, raw = [], [], [], [], [], []

@@ -43,8 +43,9 @@ MARKS = ".,;:!?()[]|\"'*#%&$"
 #: What a word is set in.
 FRAME = b" " * 24
 KEPT_WORDS = 200_000
-#: Bytes that a match has at least.
+#: Bytes that a match has at least, and texts that are compared at once.
 MATCH = 5
+TOGETHER = 200
 
 
 def lowered_words(text: str) -> list[bytes]:
@@ -111,10 +112,12 @@ class Pair:
         a, b = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(pieces, threads=1)), np.int64, len(pieces)) for c in (self.ordinary, self.toxic))
         return a - b
 
-    def sharing(self, words: list[bytes]) -> np.ndarray:
+    def sharing(self, words: list[bytes], step: int = 20_000) -> np.ndarray:
         """Which words have a run in common with the second parts; between two words there are spaces enough that no run spans them."""
         if not words or not len(self.codes):
             return np.zeros(len(words), bool)
+        if len(words) > step:
+            return np.concatenate([self.sharing(words[i : i + step], step) for i in range(0, len(words), step)])
         flat = np.frombuffer(b"".join(b"  " + w + b"  " for w in words) + b" " * MATCH, np.uint8).astype(np.uint64)
         code = sum(flat[i : len(flat) - MATCH + 1 + i] << np.uint64(8 * i) for i in range(MATCH))
         near = np.flatnonzero(self.begins[code & np.uint64(0xFFFF)])
@@ -173,7 +176,8 @@ class Model:
     def score(self, texts: list[str], made: Pair | None = None) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = np.array([features(d) for d in self.differences(texts, made)])
+        made = made or self.pair()
+        x = np.array([features(d) for i in range(0, len(texts), TOGETHER) for d in self.differences(texts[i : i + TOGETHER], made)])
         return logistic(np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights) if len(x) else np.zeros(0)
 
 
@@ -218,7 +222,8 @@ def train(sample: list[tuple[str, int]], toxic_share: float) -> Model:
     model = Model(*(base + inert[: longest - len(p)] + p for p in parts), len(base), np.zeros(1), np.ones(1), np.zeros(1))
     rest = [(t, 1) for t in toxic[1::2]] + [(t, 0) for t in ordinary[1::2]]
     y = np.array([k for _, k in rest], float)
-    x = np.array([features(d) for d in model.differences([t for t, _ in rest])])
+    pair = model.pair()
+    x = np.array([features(d) for i in range(0, len(rest), TOGETHER) for d in model.differences([t for t, _ in rest[i : i + TOGETHER]], pair)])
     share = min(max(toxic_share, 1e-4), 1 - 1e-4)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     model.mean, model.scale, model.weights = fit_logistic(x, y, weight)
