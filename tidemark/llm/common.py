@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 FOLDS = 5
-ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
+ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 4 << 20
 #: Characters of one class that a classifier learns from at most.
 SAMPLE_CHARS = 16_000_000
 

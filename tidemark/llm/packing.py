@@ -26,6 +26,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,9 @@ ROUNDS = 500
 PART = 100_000
 #: Rows of a plan or of parts, some 50 bytes each, that may be broadcast.
 MOST_BROADCAST = 200_000
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 500_000
+#: Texts that are tokenised together.
+TOGETHER = 64
 #: A space beside white space on both sides, or at an end: where cutting at spaces isn't where the pattern cuts.
 SPACE = re.compile(r"\s")
 UNSAFE = re.compile(r"\s \s|\A | \Z")
@@ -122,7 +125,9 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         tok = loaded(path)
         for batch in them:
             at, piece, start, length, crc, raw = [], [], [], [], [], []
-            for row, got in enumerate(tok.texts(batch.column("text").to_pylist())):
+            texts = batch.column("text").to_pylist()
+            each = (tok.texts(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER))
+            for row, got in enumerate(chain.from_iterable(each)):
                 got += end
                 n, lo, k = len(got) // 4, 0, 0
                 while lo < n:
