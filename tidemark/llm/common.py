@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,15 +27,24 @@ ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 4 << 20
 SAMPLE_CHARS = 16_000_000
 
 
-#: What operators keep between tasks in a Python worker, by operator: how to let go of it.
+#: What operators keep between tasks in a Python worker, by operator: how to let go of it. And whose task was last here.
 KEPT: dict[str, Callable[[], object]] = {}
+_LAST: list[str] = []
 
 
 def only(operator: str) -> None:
-    """A task of this operator begins: what other operators kept in this worker goes."""
+    """A task of this operator begins: what other operators kept in this worker goes, and the memory goes back to the system."""
+    if _LAST == [operator]:
+        return
+    _LAST[:] = [operator]
     for name, let_go in KEPT.items():
         if name != operator:
             let_go()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

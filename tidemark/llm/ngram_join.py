@@ -52,7 +52,7 @@ BLOCK = 256
 PAIRS = 2000
 GROUP = 500
 STEPS = 100_000
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 FILTER_BITS = 22
 MIX = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
