@@ -52,3 +52,27 @@ def test_copies_are_one_node(spark):
     rows = [(k, [1.0, 0.5, 0.0]) for k in range(300)] + [(500 + k, [1.0, 0.55, 0.0]) for k in range(20)] + [(900, [0.0, 0.0, 1.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
     assert got[0] == got[299] == (319, 0) and got[510] == (319, 0) and got[900] == (0, 900)
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_vector_is_dealt_a_few_times_only(spark, monkeypatch):
+    """What goes through shuffles is a small multiple of the vectors, with as many links as all pairs have."""
+    monkeypatch.setattr(nv, "CELL", 30)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 64))
+    x[:200] = x[0] + rng.standard_normal((200, 64)) * rng.choice([0.05, 0.15, 0.25], (200, 1))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5).localCheckpoint()
+    began = shuffled(spark)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nv.near_vectors(table).collect()}
+    assert shuffled(spark) - began <= 4 * x.nbytes
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = y @ y.T >= 0.95
+    assert [got[k][0] for k in range(1500)] == (near.sum(1) - 1).tolist() and near.sum() > 3000
+    assert all(got[k][1] == k for k in range(200, 1500))

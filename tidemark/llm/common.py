@@ -6,7 +6,7 @@
 * ``training_sample`` picks a bounded, deterministic sample of labelled rows for a classifier.
 * ``with_score`` adds a column that a scorer computes from texts.
 * ``only`` keeps stores of one operator from adding to those of another in the same Python worker.
-* ``settle`` cuts lineage with ``checkpoint()`` in the folder that the session names.
+* ``settle`` cuts lineage with ``checkpoint()`` in the folder that the session names; ``let_go`` gives that space back.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 FOLDS = 5
+#: Spark's own removal of shuffle files when an action ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 4 << 20
 #: Characters of one class that a classifier learns from at most.
 SAMPLE_CHARS = 16_000_000
@@ -75,7 +77,8 @@ def held_out(doc_id: Column) -> Column:
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; lost executors don't lose it.
 
-    The folder is the session's ``spark.checkpoint.dir``; without one, only a local session gets a folder of its own.
+    Nothing reads the shuffles behind it any more, so their files go at once instead of when the driver happens to
+    collect garbage; the setting holds for this one action. The folder is the session's ``spark.checkpoint.dir``; without one, only a local session gets a folder of its own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -84,7 +87,22 @@ def settle(df: DataFrame) -> DataFrame:
         if folder is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or own_folder())
-    return df.checkpoint(eager=True)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, as the setting is read when a plan is made
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
+def let_go(*settled: DataFrame) -> None:
+    """Deletes what ``settle`` wrote for these; no frame that still has to run may come from them."""
+    for df in settled:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def own_folder() -> str:
