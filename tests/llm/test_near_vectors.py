@@ -54,11 +54,11 @@ def test_copies_are_one_node(spark):
     assert got[0] == got[299] == (319, 0) and got[510] == (319, 0) and got[900] == (0, 900)
 
 
-def shuffled(spark):
-    """Bytes that all stages so far wrote to shuffles."""
+def shuffled(spark, what="shuffleWriteBytes"):
+    """Bytes, or records, that all stages so far wrote to shuffles."""
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
     stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
 
 def test_a_vector_is_dealt_a_few_times_only(spark, monkeypatch):

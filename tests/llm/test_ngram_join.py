@@ -83,3 +83,28 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     got = dict(map(tuple, components.connected(edges).collect()))
     assert got == {5: 5} | {k: 5 for k in range(10, 41)} | {k: 100 for k in range(100, 131)}
     assert components.connected(edges.limit(0)).count() == 0
+
+
+def test_a_crowded_group_is_not_dealt_to_all_its_blocks(spark, monkeypatch):
+    """300 sets as far from their head as one another, in families: each goes through shuffles a few times only."""
+    from .test_near_vectors import shuffled
+
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    rng = random.Random(4)
+    base = [rng.getrandbits(62) for _ in range(200)]
+    nodes = {0: base}
+    for family in range(10):
+        other = base[18:] + [rng.getrandbits(62) for _ in range(18)]
+        for k in range(30):
+            nodes[len(nodes)] = other[: 200 - k % 4] + [rng.getrandbits(62) for _ in range(k % 4)]
+    long = spark.createDataFrame([(k, 50, 9 if k == 0 else 5) for k in nodes], "sig long, token long, count int")
+    sets = spark.createDataFrame(list(nodes.items()), "sig long, tokens array<long>").localCheckpoint()
+    began = shuffled(spark, "shuffleWriteRecords")
+    edges = nj.group_links(long, sets, 90).collect()
+    assert shuffled(spark, "shuffleWriteRecords") - began <= 15 * len(nodes)
+    forest = nj.Forest()
+    for a, b in edges:
+        x, y = set(nodes[a]), set(nodes[b])
+        assert len(x & y) * 100 >= len(x | y) * 90
+        forest.add(a, b)
+    assert [forest.find(k) for k in nodes] == [0] + [1 + 30 * f for f in range(10) for _ in range(30)]

@@ -14,7 +14,9 @@
    compared with the head. Nodes linked to it are done among themselves. Since Jaccard distance is a metric, any other
    node can only link to nodes whose distance from the head differs by at most 1 - t, so it is compared within
    neighbouring rings, in blocks of ``BLOCK`` nodes that are spread over tasks; within rings, only nodes of neighbouring
-   sizes meet. Blocks and bins report spanning forests of their links, not all of them. Among the nodes of one ring and
+   sizes meet. A node's set is dealt to the blocks it meets only where that are few (``FEW`` for a ring and size); blocks
+   of more populous ones are packed once and meet in a Cartesian product, which reads its other side from the checkpoint
+   folder, so disk doesn't grow with the square of a group. Blocks and bins report spanning forests of their links, not all of them. Among the nodes of one ring and
    size that don't link to their head the work still grows with the square of their number.
 6. Links make components (no link between different sets is lost); members take the least id.
 
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, batches, only, settle
+from .common import KEPT, batches, let_go, only, settle
 from .components import connected
 
 COUNTERS = 1 << 20
@@ -49,6 +51,9 @@ LEVELS = 3
 VERIFY_COST = 8.0
 LIST = 64
 BLOCK = 256
+#: Blocks of one ring and size that others are dealt to by copies; and packed blocks that a task holds of one side.
+FEW = 2
+SIDE = 64
 PAIRS = 2000
 GROUP = 500
 STEPS = 100_000
@@ -303,7 +308,7 @@ def group_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return long.sparkSession.createDataFrame([], "a long, b long")
     weighed = long.join(long.groupBy("sig").agg(F.sum("count").alias("w")), "sig")
     heads = weighed.groupBy("token").agg(F.max_by("sig", F.struct("w", "sig")).alias("pivot"))
-    members = settle(long.join(heads, "token").select("pivot", "sig").distinct())
+    members = asked = settle(long.join(heads, "token").select("pivot", "sig").distinct())
     pivots = members.select("pivot").distinct().join(sets.select(F.col("sig").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
     both = F.size(F.array_intersect("tokens", "tp"))
     union = F.size("tokens") + F.size("tp") - both
@@ -318,6 +323,7 @@ def group_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ring = F.floor((F.col("union") - F.col("both")) * 100 / (F.col("union") * width)).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")  # similar sizes are at most a step apart
     near = settle(near.select("cluster", "sig", "pivot", linked.alias("linked"), ring.alias("ring"), step.alias("step")))
+    let_go(asked)
     first = near.where(F.col("linked") & (F.col("sig") != F.col("pivot"))).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
     cell = lambda r, s: r * STEPS + s
     placed = near.withColumn("ring", cell(F.col("ring"), F.col("step")))
@@ -330,7 +336,7 @@ def group_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ring = F.col("ring") + cell(rings, steps)
         there = F.coalesce(F.try_element_at("ks", ring), F.lit(0))
         other = F.transform(F.sequence(F.lit(0), there - 1), lambda j: F.struct(ring.alias("ring"), j.cast("int").alias("block")))
-        skip = (there == 0) | ((F.col("ring") < STEPS) & (ring < STEPS))
+        skip = (there == 0) | ((F.col("ring") < STEPS) & (ring < STEPS)) | (F.greatest(F.col("ks")[F.col("ring")], there) > FEW)
         return F.when(skip, F.array().cast("array<struct<ring:int,block:int>>")).otherwise(other)
 
     here = F.struct(F.col("ring").alias("ring"), F.col("block").alias("block"))
@@ -347,7 +353,37 @@ def group_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     found = full.select("key", "sig", "tokens", "side", (F.col("low") == F.col("high")).alias("same")).groupBy("key").applyInPandas(compare, "a long, b long")
-    return first.unionByName(found)
+    near_cells = [cell(r, t) for r in (-1, 0, 1) for t in (-1, 0, 1)]
+    return first.unionByName(found).unionByName(crowded_links(placed, near_cells, sets, percent))
+
+
+def crowded_links(placed: DataFrame, near_cells: list[int], sets: DataFrame, percent: int) -> DataFrame:
+    """Links between blocks of which either is of a ring and size with more than ``FEW`` blocks; each set is packed once."""
+    spark = placed.sparkSession
+    there = [F.coalesce(F.try_element_at("ks", F.col("ring") + d), F.lit(0)) for d in near_cells]
+    crowded = placed.where(F.greatest(*there) > FEW).select("cluster", "ring", "block", F.col("ks")[F.col("ring")].alias("k"), "sig")
+    if crowded.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    rows = F.collect_list(F.struct("sig", "tokens")).alias("rows")
+    blocks = settle(crowded.join(sets, "sig").groupBy("cluster", "ring", "block").agg(F.first("k").alias("k"), rows))
+    blocks = blocks.coalesce(max(spark.sparkContext.defaultParallelism, -(-blocks.count() // SIDE)))
+    a, b = (blocks.select(*(F.col(c).alias(f"{x}_{c}") for c in ("cluster", "ring", "block", "k")), F.col("rows.sig").alias(f"{x}_sig"), F.col("rows.tokens").alias(f"{x}_tokens")) for x in "ab")
+    apart = F.col("b_ring") - F.col("a_ring")
+    later = (apart > 0) | ((apart == 0) & (F.col("a_block") <= F.col("b_block")))
+    both_linked = (F.col("a_ring") < STEPS) & (F.col("b_ring") < STEPS)
+    meets = apart.isin(near_cells) & later & ~both_linked & (F.greatest("a_k", "b_k") > FEW)
+    pairs = a.crossJoin(b).where((F.col("a_cluster") - F.col("b_cluster") == 0) & meets).select("a_sig", "a_tokens", "b_sig", "b_tokens")  # no equality to deal by
+
+    def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in them:
+            for k in range(batch.num_rows):
+                sigs = [batch.column(f"{x}_sig")[k].as_py() for x in "ab"]
+                tokens = [[t.values.to_numpy() for t in batch.column(f"{x}_tokens")[k].values] for x in "ab"]
+                out = [x for x in links(sigs[0], tokens[0], sigs[1], tokens[1], percent) if forest.add(*x)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def links(a: list[int], ta: list[np.ndarray], b: list[int], tb: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -379,15 +415,19 @@ def near_copies(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     levels = sketched(rows, size)
-    each = settle(prefix_rows(rows, levels, size, percent))
-    nodes = each.where("md5 IS NOT NULL").groupBy("md5").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("id").alias("least"))
-    nodes = settle(nodes.withColumn("sig", F.monotonically_increasing_id()))
-    entries = settle(postings(nodes, percent))
+    whole = settle(prefix_rows(rows, levels, size, percent))
+    nodes = whole.where("md5 IS NOT NULL").groupBy("md5").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("id").alias("least"))
+    full = settle(nodes.withColumn("sig", F.monotonically_increasing_id()))
+    each, nodes = settle(whole.select("id", "md5", "n")), settle(full.select("sig", "md5", "least"))
+    let_go(whole)
+    entries = settle(postings(full, percent))
+    let_go(full)
     short, long = entries.where(F.col("count") <= LIST), entries.where(F.col("count") > LIST)
     pairs = settle(candidate_pairs(short, percent))
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(long.select("sig")).distinct()
     sets = whole_sets(rows, settle(wanted.join(nodes.select("sig", "md5"), "sig")), size)
-    edges = settle(verified(pairs, sets, percent).unionByName(group_links(long, sets, percent)))
+    edges = settle(settle(verified(pairs, sets, percent)).unionByName(group_links(long, sets, percent)))
+    let_go(sets, pairs, entries)
     labels = connected(edges)
     named = nodes.select("sig", "md5", "least").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
