@@ -188,3 +188,21 @@ def test_a_score_column_gives_way(spark):
     for module in (toxicity, quality):
         out = module.score_documents(docs, module.fit(docs, labels))
         assert out.dtypes == [("doc_id", "bigint"), ("text", "string"), ("score", "double")]
+
+
+def test_words_over_line_ends_are_put_together_from_parts():
+    """Only parts that are new are encoded, a store's misses as one text; ids are the library's."""
+    tok = packing.CachedTokenizer(BYTE)
+    texts = [f"begin {a}.\n{b}, été!\nПривет; {a}, {b}. {a}'s.\n{b} x\n\ny {b}.\n" for a in ("one", "two", "Three") for b in ("four", "five", "six")]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.tok.encode_batch(texts, add_special_tokens=False)]
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, some, **how):
+            asked.extend(some)
+            return lib.encode_batch_fast(some, **how)
+
+    lib, tok.tok = tok.tok, Spy()
+    assert list(tok.texts(texts)) == want
+    assert not any(x.strip(" \n").startswith(("one.\n", "two.\n", "Three.\n")) for x in asked)
+    assert len(asked) <= len(texts) + 20 and not any(packing.LINES.fullmatch(w) for w in tok.words)

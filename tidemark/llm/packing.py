@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -51,10 +52,20 @@ TOGETHER = 64
 #: A space beside white space on both sides, or at an end: where cutting at spaces isn't where the pattern cuts.
 SPACE = re.compile(r"\s")
 UNSAFE = re.compile(r"\s \s|\A | \Z")
+#: Letters that have long been letters, and a mark behind them: the byte-level pattern cuts between the two, and around a
+#: line end between such words.
+ENDS = ",.;:!?"
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f]+"
+STEM = re.compile(f"{LETTERS}[{ENDS}]?")
+LINES = re.compile(f"{LETTERS}[{ENDS}]?(?:\n{LETTERS}[{ENDS}]?)+")
 
 
 class CachedTokenizer:
-    """``tokenizers`` ids as little-endian bytes; words between single spaces are encoded once."""
+    """``tokenizers`` ids as little-endian bytes; words between single spaces are encoded once.
+
+    Behind GPT-2's byte-level pattern a word and the mark behind it, and words on both sides of a line end, are put
+    together from their parts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,26 +75,66 @@ class CachedTokenizer:
         self.tok.no_padding()
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
         self.edgy: set[str] = set()
         vocab = self.tok.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for s, i in vocab.items() if s.startswith("\u0120")]] = True  # how the vocabulary spells a space
-
-    def _words(self, words: list[str], step: int = 2000) -> Iterator[tuple[str, bytes]]:
-        """Ids of words behind a space. Many are encoded as one text: no token crosses a space, and only a word's first has one."""
-        odd = [w for w in words if SPACE.search(w) or not w]
-        fine = [w for w in words if w and not SPACE.search(w)]
-        for i in range(0, len(fine), step):
-            some = fine[i : i + step]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.starts[ids])
+        self.breaks = np.zeros(len(self.starts), bool)
+        self.breaks[[i for s, i in vocab.items() if s.startswith("\u010a")]] = True  # and a line end
+        self.ends = {c: int(vocab[c]).to_bytes(4, "little") for c in ENDS if c in vocab}
+        how = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else {}
+        byte_level = how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space")
+        self.parted = bool(byte_level) and self.tok.normalizer is None and len(self.ends) == len(ENDS) and bool(self.breaks.any())
+
+    def _learn(self, fresh: set[str]) -> list[str]:
+        """Stores the ids of words behind a space; returns those that go over a line end, which seldom come again."""
+        spaced, below, ended, broken, odd = set(), set(), [], [], []
+        for w in fresh:
+            if self.parted and STEM.fullmatch(w):
+                if w[-1] in ENDS:
+                    ended.append(w)
+                    w = w[:-1]
+                if w not in self.words:
+                    spaced.add(w)
+            elif self.parted and LINES.fullmatch(w):
+                broken.append(w)
+                first, *rest = w.split("\n")
+                if (first := first.rstrip(ENDS)) not in self.words:
+                    spaced.add(first)
+                below.update(x for x in (r.rstrip(ENDS) for r in rest) if x not in self.lines)
+            elif w and not SPACE.search(w):
+                spaced.add(w)
+            else:
+                odd.append(w)
+        self.words.update(self._behind(" ", list(spaced), self.starts))
+        self.lines.update(self._behind("\n", list(below), self.breaks))
+        self.words.update(zip(odd, self._ids([" " + w for w in odd])))
+        self.edgy.update(w for w in odd if not w or w[0].isspace() or w[-1].isspace())
+        for w in ended:
+            self.words[w] = self.words[w[:-1]] + self.ends[w[-1]]
+        for w in broken:
+            first, *rest = w.split("\n")
+            self.words[w] = self._whole(self.words, first) + b"".join(self._whole(self.lines, r) for r in rest)
+        return broken
+
+    def _whole(self, store: dict[str, bytes], word: str) -> bytes:
+        return store[word[:-1]] + self.ends[word[-1]] if word[-1] in ENDS else store[word]
+
+    def _behind(self, mark: str, words: list[str], starts: np.ndarray, step: int = 2000) -> Iterator[tuple[str, bytes]]:
+        """Ids of words behind a space or line end. Many are encoded as one text: no token crosses the mark, and only a word's first has it."""
+        odd = []
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            ids = np.array(self.tok.encode_batch_fast([mark + mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(starts[ids])
             if len(at) == len(some):
                 raw = ids.tobytes()
                 cut = [*(4 * at).tolist(), len(raw)]
                 yield from zip(some, (raw[a:b] for a, b in zip(cut, cut[1:])))
             else:
                 odd += some
-        yield from zip(odd, self._ids([" " + w for w in odd]))
+        yield from zip(odd, self._ids([mark + w for w in odd]))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,15 +143,16 @@ class CachedTokenizer:
         cut = [t.split(" ") for t in texts]
         seen = {w for ws in cut for w in ws[1:]}
         fresh = seen.difference(self.words)
-        if len(self.words) + len(fresh) > KEPT_WORDS:
-            self.words, self.edgy, fresh = {}, set(), seen
-        self.words.update(self._words(list(fresh)))
-        self.edgy.update(w for w in fresh if not w or w[0].isspace() or w[-1].isspace())
+        if len(self.words) + len(self.lines) + len(fresh) > KEPT_WORDS:
+            self.words, self.lines, self.edgy, fresh = {}, {}, set(), seen
+        broken = self._learn(fresh)
         whole = [any(m in t for m in self.marks) or "" in ws or (not self.edgy.isdisjoint(ws) and bool(UNSAFE.search(t))) for t, ws in zip(texts, cut)]
         heads = self._ids([t if w else ws[0] for t, ws, w in zip(texts, cut, whole)])
         get = self.words.__getitem__
         for head, ws, w in zip(heads, cut, whole):
             yield head if w else head + b"".join(map(get, ws[1:]))
+        for w in broken:
+            self.words.pop(w, None)
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
