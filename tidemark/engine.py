@@ -4,8 +4,8 @@ A cycle reads page after page until the cursor's strategy says that it is done,
 are used up (``truncated``: the next pass goes on at once). A page is one DataFrame plan: validate, dedup, diff against
 the stored snapshot, number the events, commit. What a full listing didn't show is deleted at its end, and only then.
 A thread renews the lease while a cycle or a delivery runs. Delivery runs on the driver, because handlers have effects
-that a retried task would repeat; it reads the eligible rows of the outbox in order through an iterator and acknowledges
-each batch with the commit after it.
+that a retried task would repeat; it reads the eligible rows of the outbox in order through one iterator a pass and
+acknowledges each batch with the commit after it.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from tidemark.state.manifest import SCHEMAS, Lease, ManifestStore
 from tidemark.strategies import Strategy, strategy
 
 Handler = Callable[[dict], None]
+#: Fixed value: keys that failed and have later rows, at most, before delivery reads the outbox again.
+BLOCKED = 200_000
 
 
 @dataclass
@@ -428,12 +430,18 @@ class Engine:
     # delivery
 
     def _waiting(self, key: tuple[str, str], now: int) -> DataFrame:
+        """What can be delivered, in order; ``_more`` tells whether its key has a later row."""
         outbox = self.store.read(key, "outbox").withColumn("order_key", F.coalesce("order_key", "subject"))
-        return dispatch.eligible(outbox, self.store.read(key, "parked"), F.lit(now), "order_key").orderBy("sequence")
+        free = dispatch.eligible(outbox, self.store.read(key, "parked"), F.lit(now), "order_key")
+        return dispatch.followed(free, "order_key").orderBy("sequence")
 
     def drain(self, key: tuple[str, str], spec: FeedSpec, lease: Lease, keeper: Keeper | None = None) -> int:
         """One at a time per key, in order; a failed event blocks its key, and is parked once attempts are used up.
 
+        The outbox is read and sorted once a pass, however many batches the pass commits. A pass over what the one before
+        left follows until nothing can be delivered. Where a retry is due, a pass ends early if it did as much as all
+        before it, so that few passes are made however many retries there are.
+
         M12: with ``halt`` the poison event is parked too, the circuit opens and delivery ends until the probe; what was
         delivered before it is acknowledged with the same commit.
         """
@@ -441,49 +449,70 @@ class Engine:
         state = self.store.state(key) or {}
         if handler is None or not state.get("waiting") or self._halted(state):
             return 0
-        delivered = 0
+        delivered = handled = 0
         while True:
             now = self.clock()
-            done, tried, parked, blocked = [], [], [], set()
+            done, tried, parked, blocked, due = [], [], [], set(), None
             patch: dict = {}
-            for row in self._waiting(key, now).limit(self.batch).toLocalIterator():
+            before, stopped = handled, False
+
+            def flush() -> None:
+                nonlocal delivered, handled, done, tried, parked
+                if not done and not tried:
+                    return
+                frame = lambda rows, schema: self.spark.createDataFrame(rows, schema).coalesce(1)
+                upserts = {t: frame(r, SCHEMAS[t]) for t, r in (("outbox", tried), ("parked", parked)) if r}
+                deletes = {"outbox": frame(done, "event_id string")} if done else {}
+                self.store.commit(key, lease, patch, now, upserts, deletes)
+                sent = len(done) - len(parked)
+                delivered += sent
+                handled += len(done) + len(tried)
+                if sent:
+                    self._hook("on_delivered", feed=key[0], partition=key[1], events=sent, duration_ms=self.clock() - now)
+                done, tried, parked = [], [], []
+
+            for row in self._waiting(key, now).toLocalIterator():
                 if row["order_key"] in blocked:
+                    if not row["_more"]:
+                        blocked.discard(row["order_key"])
                     continue
                 if self.status == "stopping" or keeper is not None and keeper.lost:
+                    stopped = True
                     break
                 attempts = row["attempts"] + 1
                 try:
                     handler(json.loads(row["event"]) | {"attempt": attempts})
                     done.append((row["event_id"],))
                 except Exception as e:  # noqa: BLE001
-                    blocked.add(row["order_key"])
+                    if row["_more"]:
+                        blocked.add(row["order_key"])
                     error = serialize_error(e)
                     if attempts < spec.delivery.attempts:
                         wait = schedule.backoff_delay(attempts, spec.delivery.backoff, self.draw)
                         tried.append((row["event_id"], row["subject"], row["sequence"], row["event"], "pending", attempts, now + wait, json.dumps(error), row["created_at"], row["order_key"]))
+                        due = now + wait if due is None else min(due, now + wait)
                         self._hook("on_retry", feed=key[0], partition=key[1], event_id=row["event_id"], attempt=attempts)
-                        continue
-                    done.append((row["event_id"],))
-                    parked.append((row["event_id"], "poison", row["event"], None, json.dumps(error), attempts, now, row["order_key"] if spec.delivery.hold else None, row["sequence"]))
-                    self._hook("on_parked", feed=key[0], partition=key[1], event_id=row["event_id"], error=error)
-                    if spec.delivery.on_poison == "halt":
-                        plan = schedule.halted(self._schedule(self.store.state(key), spec), spec.schedule, now, serialize_error(PoisonHalt(str(e))))
-                        patch["schedule"] = plan.as_dict()
-                        self._hook("on_circuit", feed=key[0], partition=key[1], state="open")
+                    else:
+                        done.append((row["event_id"],))
+                        parked.append((row["event_id"], "poison", row["event"], None, json.dumps(error), attempts, now, row["order_key"] if spec.delivery.hold else None, row["sequence"]))
+                        self._hook("on_parked", feed=key[0], partition=key[1], event_id=row["event_id"], error=error)
+                        if spec.delivery.on_poison == "halt":
+                            plan = schedule.halted(self._schedule(self.store.state(key), spec), spec.schedule, now, serialize_error(PoisonHalt(str(e))))
+                            patch["schedule"] = plan.as_dict()
+                            self._hook("on_circuit", feed=key[0], partition=key[1], state="open")
+                            break
+                if len(done) + len(tried) >= self.batch:
+                    flush()
+                    now = self.clock()
+                    if len(blocked) > BLOCKED or due is not None and due <= now and handled >= 2 * before:
                         break
-            if not done and not tried:
-                left = not dispatch.pending(self.store.read(key, "outbox")).isEmpty()
-                self.store.save(key, {"waiting": left}, now, lease)
-                return delivered
-            frame = lambda rows, table: self.spark.createDataFrame(rows, SCHEMAS[table])
-            upserts = {t: frame(r, t) for t, r in (("outbox", tried), ("parked", parked)) if r}
-            deletes = {"outbox": self.spark.createDataFrame(done, "event_id string")} if done else {}
-            self.store.commit(key, lease, patch, now, upserts, deletes)
-            delivered += len(done) - len(parked)
-            if len(done) > len(parked):
-                self._hook("on_delivered", feed=key[0], partition=key[1], events=len(done) - len(parked), duration_ms=self.clock() - now)
+            flush()
             if patch:
                 return delivered
+            left = not dispatch.pending(self.store.read(key, "outbox", ["status"])).isEmpty()
+            if stopped or handled == before or not left:
+                self.store.save(key, {"waiting": left}, self.clock(), lease)
+                return delivered
 
     @staticmethod
     def _halted(state: dict) -> bool:
@@ -501,8 +530,11 @@ class Engine:
         acknowledge = lambda row: self.store.commit(key, lease, {}, self.clock(), deletes={"outbox": self.spark.createDataFrame([(row["event_id"],)], "event_id string")})
         try:
             with Keeper(self.store, key, lease, self.lease_ms, self.clock) as keeper:
-                while rows := self._waiting(key, self.clock()).limit(self.batch).collect():  # a batch at most
-                    for row in rows:
+                found = True
+                while found:
+                    found = False
+                    for row in self._waiting(key, self.clock()).toLocalIterator():
+                        found = True
                         keeper.check()
                         yield json.loads(row["event"]) | {"attempt": row["attempts"] + 1}
                         acknowledge(row)

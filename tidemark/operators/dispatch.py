@@ -24,6 +24,11 @@ def eligible(outbox: DataFrame, parked: DataFrame, now: Column, key: str = "subj
     return free.withColumn("_blocked", F.max(late).over(w)).where(~F.col("_blocked")).drop("_blocked")
 
 
+def followed(rows: DataFrame, key: str = "subject") -> DataFrame:
+    """With ``_more``: whether the key has a later row."""
+    return rows.withColumn("_more", F.lead("sequence").over(Window.partitionBy(key).orderBy("sequence")).isNotNull())
+
+
 def groups(outbox: DataFrame, key: str = "subject") -> DataFrame:
     """Of each key how many wait, from which sequence on; keys in the order of their first row."""
     return pending(outbox).groupBy(key).agg(F.count(F.lit(1)).alias("waiting"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))

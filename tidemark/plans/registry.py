@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import times, web
 from tidemark.functions.canonical import PREFIX
+from tidemark.functions.lineage import settle
 from tidemark.operators import cursors, diff, dispatch, events, folds, metrics, validate
 from tidemark.plans import fixtures as fx
 from tidemark.plans.fixtures import DELIV, EVT, NOW, ORD, SOURCE
@@ -810,14 +812,24 @@ def engine_delivery(spark, d):
 
     c = fx.table(spark, d, "customer").select("c_custkey", "c_name")
     engine, _ = _engine(spark, FeedSpec("customers", lambda ctx: c, "c_custkey", delivery=Delivery(attempts=1), schedule=Schedule(jitter=0.0)), batch=20_000)
-    got = []
+    schema = "identity string, outcome string, attempts int"
+    got, kept = [], []
+
+    def keep():
+        """What was delivered goes to the checkpoint folder, so the driver holds a part of it only."""
+        if got:
+            kept.append(settle(spark.createDataFrame(got, schema).coalesce(1)))
+            got.clear()
 
     def handler(event):
         if int(event["subject"]) % 97 == 0:
             raise ValueError("no")
         got.append((event["subject"], "delivered", event["attempt"]))
+        if len(got) == 200_000:
+            keep()
 
     engine.on("customers", handler)
     engine.tick()
+    keep()
     parked = engine.parked("customers").select(F.get_json_object("event", "$.subject").alias("identity"), F.lit("parked").alias("outcome"), "attempts")
-    return spark.createDataFrame(got, "identity string, outcome string, attempts int").unionByName(parked)
+    return reduce(DataFrame.unionByName, kept, parked)
