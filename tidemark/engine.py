@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.control import schedule
 from tidemark.control.budget import Manager
 from tidemark.errors import ConfigError, FeedError, LeaseLost, PoisonHalt, is_throttle, serialize_error
+from tidemark.functions.canonical import hash_text
 from tidemark.functions.lineage import settle
 from tidemark.functions.times import iso_ms, timestamp_ms
 from tidemark.operators import cursors, diff, dispatch, events, validate
@@ -369,32 +370,41 @@ class Engine:
             rows, top = self._window(spec, rows, steps.for_fetch(cursor, True), lane_state, lane, now)
             page = replace(page, top=top)
         good, bad = validate.split(rows, spec.checks, spec.invalid) if spec.checks else (rows, None)
-        found = settle(diff.last_wins(spec.candidates(good, position), "identity", "_pos").drop("_pos"))
+        plain = () if spec.fingerprint else ("hash",)  # without a fingerprint it is the data's, made again behind the exchange
+        found = diff.last_wins(spec.candidates(good, position).drop(*plain), "identity", "_pos").drop("_pos")
+        found = found.withColumns({c: hash_text(F.col("data")) for c in plain})
+        force = lane == "backfill" and lane_state.get("force")
+        found = settle(found) if force else found
         stored = self.store.read(key, "items")
-        changed = settle(diff.snapshot_diff(stored, found, spec.schema_version, spec.on_schema_change, deletes=complete))
+        told = lambda c: c if c in ("identity", "type") else F.when(F.col("type") != "unchanged", F.col(c)).alias(c)
+        every = diff.snapshot_diff(stored, found, spec.schema_version, spec.on_schema_change, deletes=complete)
+        changed = settle(every.select(*map(told, every.columns)))
+        tally = {r["type"]: r["count"] for r in changed.groupBy("type").count().collect()}
         picked = diff.changes(changed)
-        if lane == "backfill" and lane_state.get("force"):
+        if force:
             again = diff.forced(found, stored, picked).select("identity", F.lit("updated").alias("type"), "version", "hash", "data", F.lit(None).cast("string").alias("previous"))
             picked = picked.unionByName(again)
-        tables, n = self._events(key, spec, lane, lane_state, picked, now)
-        kept = changed.where(F.col("type").isin("created", "updated", "rebaselined"))
-        if n or not kept.isEmpty():
+        some = force or not tally.keys() <= {"unchanged", "rebaselined"}
+        tables, n = self._events(key, spec, lane, lane_state, picked, now) if some else ({"upserts": {}, "deletes": {}}, 0)
+        if n or not tally.keys() <= {"unchanged", "deleted"}:
+            kept = changed.where(F.col("type").isin("created", "updated", "rebaselined"))
             tables["upserts"]["items"] = diff.item_rows(kept, spec.schema_version, F.lit(now), spec.retain)
         invalid = bad.count() if bad is not None else 0
         if invalid:
             tables["upserts"]["parked"] = validate.parked_rows(bad, F.to_json(F.struct(*(c for c in rows.columns if c != "_position"))), F.lit(now))
         if complete and n:
             tables["deletes"]["items"] = changed.where("type = 'deleted'").select("identity")
-        return page, tables, {"items": found.count(), "events": n, "invalid": invalid}, found.select("identity")
+        items = sum(tally.values()) - tally.get("deleted", 0)
+        return page, tables, {"items": items, "events": n, "invalid": invalid}, changed.where("type <> 'deleted'").select("identity")
 
     def _events(self, key: tuple[str, str], spec: FeedSpec, lane: str, lane_state: dict, picked: DataFrame, now: int) -> tuple[dict, int]:
+        """Rows are settled once, when they are numbered; the envelope is made from them as it is written."""
         base = (self.store.state(key) or {}).get("sequence", 0)
         if spec.retain == "hash":
             gone = F.col("type") == "deleted"
             picked = picked.withColumn("previous", F.lit(None).cast("string")).withColumn("data", F.when(~gone, F.col("data")))
-        ordered = events.numbered_by_range(picked, base, F.col("type") == "deleted", diff.code_unit_order(F.col("identity")))
-        made = settle(events.enveloped(ordered, spec.name, F.lit(key[1]), spec.urn, spec.schema_version, lane, F.lit(now), F.lit(json.dumps(lane_state.get("cursor")))))
-        n = made.count()
+        ordered, n = events.ranged(picked, base, F.col("type") == "deleted", diff.code_unit_order(F.col("identity")))
+        made = events.enveloped(ordered, spec.name, F.lit(key[1]), spec.urn, spec.schema_version, lane, F.lit(now), F.lit(json.dumps(lane_state.get("cursor"))))
         rows = events.outbox_rows(made, F.lit(now), spec.delivery.ordering_key)
         return {"upserts": {"outbox": rows, "log": rows.select("sequence", "event", "created_at")} if n else {}, "deletes": {}}, n
 

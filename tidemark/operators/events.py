@@ -17,25 +17,30 @@ def numbered(changes: DataFrame, base: int | Column, *order: Column, by: tuple[s
     return changes.withColumn("sequence", (start + F.row_number().over(w)).cast("long"))
 
 
-def numbered_by_range(changes: DataFrame, base: int, *order: Column | str, ranges: int | None = None, name: str = "sequence") -> DataFrame:
-    """The same for one key of any size: rows are dealt by ranges of the order, each range starts behind those before it.
+def ranged(changes: DataFrame, base: int, *order: Column | str, ranges: int | None = None, name: str = "sequence") -> tuple[DataFrame, int]:
+    """The same for one key of any size, and how many there are: rows are dealt by ranges of the order and sorted there,
+    each range starts behind those before it.
 
-    The driver gets one count a range. Dealing is cut with a checkpoint, as a second run might draw other bounds.
+    The driver gets one count a range. Dealing is cut with a checkpoint, as a second run might draw other bounds; a row's
+    place in its range is what that run gave it, so rows are dealt once. Spark may put small ranges that adjoin together.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     names = [f"_order{k}" for k in range(len(keys))]
-    ranges = ranges or int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = changes.select("*", *(k.alias(n) for k, n in zip(keys, names))).repartitionByRange(ranges, *names)
-    dealt = settle(dealt.withColumn("_range", F.spark_partition_id()))
-    at, starts = base, {}
-    for r in sorted(dealt.groupBy("_range").count().collect()):
-        starts[r["_range"]] = at
+    dealt = changes.repartitionByRange(*((ranges, *keys) if ranges else keys)).select("*", *(k.alias(n) for k, n in zip(keys, names))).sortWithinPartitions(*names)
+    dealt = settle(dealt.drop(*names).withColumn("_at", F.monotonically_increasing_id()))  # the range, and below it 33 bits of the place
+    at, starts = base, []
+    for r in sorted(dealt.groupBy(F.shiftright("_at", 33).cast("int").alias("range")).count().collect()):
+        starts += [at] * (r["range"] + 1 - len(starts))
         at += r["count"]
     if not starts:
-        return dealt.withColumn(name, F.lit(None).cast("long")).drop("_range", *names)
-    before = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*names))
-    return dealt.withColumn(name, (before[F.col("_range")] + local).cast("long")).drop("_range", *names)
+        return dealt.withColumn(name, F.lit(None).cast("long")).drop("_at"), 0
+    before = F.get(F.array(*(F.lit(x).cast("long") for x in starts)), F.shiftright("_at", 33).cast("int"))
+    return dealt.withColumn(name, before + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at"), at - base
+
+
+def numbered_by_range(changes: DataFrame, base: int, *order: Column | str, ranges: int | None = None, name: str = "sequence") -> DataFrame:
+    """``ranged`` where the count isn't needed."""
+    return ranged(changes, base, *order, ranges=ranges, name=name)[0]
 
 
 def enveloped(changes: DataFrame, feed: str, partition: Column, source: str, schema_version: int, lane: str, now: Column, cursor: Column, prefix: str = PREFIX) -> DataFrame:
