@@ -105,3 +105,14 @@ def test_numbers_by_ranges_are_dealt_once(spark):
         assert [(r["sequence"], r["v"]) for r in got.orderBy("sequence").collect()] == [(11 + k, v) for k, v in enumerate(want)]
     none, n = ranged(rows.where("id < 0"), 10, "v")
     assert n == 0 and none.count() == 0 and numbered_by_range(rows.where("id < 0"), 0, "v", name="place").columns == ["id", "v", "place"]
+
+
+def test_ids_of_odd_identities(spark):
+    import hashlib
+
+    from tidemark.functions.canonical import PREFIX, event_id
+
+    odd = ["a|b", "a\\b", "\\|", "|\\", "||", "", "ä$1"]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "k int, v string").select("k", event_id(F.lit("s"), F.lit(""), F.col("v"), F.lit("h"), F.lit(1), F.lit("created")).alias("id")).orderBy("k").collect()
+    text = lambda v: v.replace("\\", "\\\\").replace("|", "\\|")
+    assert [r["id"] for r in got] == [hashlib.sha256(f"{PREFIX}s||{text(v)}|h|1|created".encode()).hexdigest() for v in odd]

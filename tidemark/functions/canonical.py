@@ -148,7 +148,7 @@ def hash_url(c: Column) -> Column:
 
 
 def escaped_part(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\|])", r"\\$1")
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
 
 def event_id_material(source: Column, partition: Column, identity: Column, version: Column, schema_version: Column, kind: Column, prefix: str = PREFIX) -> Column:
